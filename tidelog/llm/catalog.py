@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.quality_classifier import op8_fourier_ridge
 from tidelog.llm.quality_rules import op7_robust_outliers
+from tidelog.llm.simhash import op3_covering_simhash
 from tidelog.llm.url_filter import op5_url_template_tree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_covering_simhash": op3_covering_simhash,
         "op5_url_template_tree": op5_url_template_tree,
         "op7_robust_outliers": op7_robust_outliers,
+        "op8_fourier_ridge": op8_fourier_ridge,
     }
 
 
