@@ -126,11 +126,10 @@ def _estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = np.zeros((P, P))
             for i, j in _PAIRS:
                 cov[i, j] = cov[j, i] = getattr(r, f"q{i}_{j}") / r.n - s[i] * s[j]
-            d = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            corr = np.clip(cov / np.outer(d, d), -0.95, 0.95)
-            np.fill_diagonal(corr, 1.0)
-            scale = np.maximum(d * r.widen, FLOORS)
-            w = np.linalg.inv(np.linalg.cholesky(0.9 * corr + 0.1 * np.eye(P))) / scale
+            cov *= r.widen**2
+            floor = np.square(FLOORS)
+            cov[np.diag_indices(P)] += np.maximum(0, floor - np.diag(cov)) + 0.01 * floor
+            w = np.linalg.inv(np.linalg.cholesky(cov))
             rows.append((r.key, s.tolist(), w.ravel().tolist()))
         yield pd.DataFrame(rows, columns=["key", "centre", "white"])
 
