@@ -119,7 +119,7 @@ def fit(rows: DataFrame, n_rows: int, ridge: float = 1.0, gamma: float = 0.03, b
         for b in batches:
             z, y = blank.features(_matrix(b)), b.column("y").to_numpy().astype(float)
             total += z.T @ np.column_stack([z, y])
-        yield pa.RecordBatch.from_pydict({"i": np.arange(size), "row": pa.array(list(total))})
+        yield pa.RecordBatch.from_pydict({"i": np.arange(size, dtype=np.int32), "row": pa.array(list(total))})
 
     parts = rows.select("stats", "y").mapInArrow(normal, "i int, row array<double>")
     summed = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
