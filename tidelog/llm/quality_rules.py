@@ -32,8 +32,8 @@ WINDOW = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Least standard deviation of each transformed statistic, in its own units.
 FLOORS = [0.12, 0.6, 0.5, 0.6, 0.5]
-#: 1 - 1e-8 quantile of the chi-square distribution with five degrees of freedom: few clean documents lie beyond.
-CUTOFF = 46.4
+#: Squared distance beyond which a document is an outlier: about one in 400,000 rows of a normal group lies further out.
+CUTOFF = 34.0
 
 _NOT_WORD_CHARS = bytes(range(0x80, 0xC0)) + b"\t\n\x0b\x0c\r "
 _MIX = np.random.default_rng(11).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
