@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.quality_classifier import op8_fourier_ridge
 from tidelog.llm.quality_rules import op7_robust_outliers
 from tidelog.llm.simhash import op3_covering_simhash
+from tidelog.llm.toxicity import op10_chain_crf
 from tidelog.llm.url_filter import op5_url_template_tree
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_template_tree": op5_url_template_tree,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_fourier_ridge": op8_fourier_ridge,
+        "op10_chain_crf": op10_chain_crf,
     }
 
 

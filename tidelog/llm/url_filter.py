@@ -110,7 +110,7 @@ def url_templates(urls: DataFrame, depth: int = 4, max_children: int = 50, max_d
     )
 
 
-def template_purity(templates: DataFrame, prior: DataFrame, strength: float = 5.0, z: float = 1.96) -> DataFrame:
+def template_purity(templates: DataFrame, prior: float, strength: float = 5.0, z: float = 1.96) -> DataFrame:
     """(host, parent, template, purity) from rows of (host, parent, template, good, labelled).
 
     A branch keeps its own counts only if its purity differs from that of its siblings under
@@ -129,8 +129,8 @@ def template_purity(templates: DataFrame, prior: DataFrame, strength: float = 5.
     good = F.when(F.col("apart"), F.col("good")).otherwise(F.col("m_good"))
     labelled = F.when(F.col("apart"), F.col("labelled")).otherwise(F.col("m_labelled"))
     return (
-        marked.join(merged, ["host", "parent"], "left").crossJoin(F.broadcast(prior))  # prior is one row
-        .select("host", "parent", "template", "apart", ((good + strength * F.col("prior")) / (labelled + strength)).alias("purity"))
+        marked.join(merged, ["host", "parent"], "left")
+        .select("host", "parent", "template", "apart", ((good + strength * prior) / (labelled + strength)).alias("purity"))
     )
 
 
@@ -143,7 +143,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = R
     """
     base = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     known = labels.where(F.col("page_id").isNotNull() & F.col("good").isNotNull()).groupBy("page_id").agg((F.avg("good") >= 0.5).cast("long").alias("good"))
-    prior = known.agg(F.coalesce(F.avg("good"), F.lit(1.0)).alias("prior"))
+    prior = known.agg(F.coalesce(F.avg("good"), F.lit(1.0))).first()[0]
     distinct = (
         base.join(known, "page_id", "left").groupBy("host", "path")
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("labelled"))
