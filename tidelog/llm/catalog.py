@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.quality_classifier import op8_fourier_ridge
 from tidelog.llm.quality_rules import op7_robust_outliers
 from tidelog.llm.simhash import op3_covering_simhash
+from tidelog.llm.substring_dedup import op2_sentence_spans
+from tidelog.llm.token_counts import op1_offset_tokens
 from tidelog.llm.toxicity import op10_chain_crf
 from tidelog.llm.url_filter import op5_url_template_tree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_offset_tokens": op1_offset_tokens,
+        "op2_sentence_spans": op2_sentence_spans,
         "op3_covering_simhash": op3_covering_simhash,
         "op5_url_template_tree": op5_url_template_tree,
         "op7_robust_outliers": op7_robust_outliers,
