@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm import preference_format
 from tidelog.llm.quality_classifier import op8_fourier_ridge
 from tidelog.llm.quality_rules import op7_robust_outliers
 from tidelog.llm.simhash import op3_covering_simhash
@@ -23,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_template_tree": op5_url_template_tree,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_fourier_ridge": op8_fourier_ridge,
+        "op9_preference_pairs": preference_format.op9_preference_pairs,
         "op10_chain_crf": op10_chain_crf,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_preference_pairs": preference_format.ORACLE}
