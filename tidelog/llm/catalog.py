@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import preference_format
+from tidelog.llm.decontaminate import op4_latent_retrieval
 from tidelog.llm.quality_classifier import op8_fourier_ridge
 from tidelog.llm.quality_rules import op7_robust_outliers
 from tidelog.llm.simhash import op3_covering_simhash
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_offset_tokens": op1_offset_tokens,
         "op2_sentence_spans": op2_sentence_spans,
         "op3_covering_simhash": op3_covering_simhash,
+        "op4_latent_retrieval": op4_latent_retrieval,
         "op5_url_template_tree": op5_url_template_tree,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_fourier_ridge": op8_fourier_ridge,

@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tupl
     return stats, fit(rows, rows.count() if n else 0)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 100_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 40_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     stats, model = train(docs, labels, label, max_rows)
 
@@ -171,7 +171,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row is judged where it lies, by its own text, so texts are not shuffled; the statistics
     are cheap enough to be computed once for the fit and once here.
     """
-    _, model = train(docs, table(spark, sf_dir, "labels"), "quality", 100_000)
+    _, model = train(docs, table(spark, sf_dir, "labels"), "quality", 40_000)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_pieces(batches):
