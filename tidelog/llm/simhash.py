@@ -198,27 +198,48 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    prints = save(fingerprints(docs), "fingerprints")
-    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
+def named_components(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, keep_fp) of each distinct fingerprint of ``prints`` (doc_id, fp).
+
+    ``keep_fp`` is the fingerprint of the component's smallest id, of several the least.
+    """
+    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = save(covering_links(distinct), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = save(member.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    named = member.groupBy("root").agg(first.alias("f")).select("root", F.col("f.least").alias("component_id"), F.col("f.fp").alias("keep_fp"))
+    return save(member.join(named, "root").select("fp", "component_id", "keep_fp"), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    prints = save(fingerprints(docs), "fingerprints")
+    return prints.join(named_components(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece, texts in text_pieces(batches):
+        parts = [np.array(shingle_hashes(t), np.uint64) for t in texts]
+        prints = majority_bits(np.concatenate(parts), np.array([len(x) for x in parts], np.int64))
+        yield piece.append_column("_fp", pa.array(prints.view(np.int64)))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row of the smallest id stays; of rows with one id, one.
+    """Pipeline stage: one row of each component stays, one that has its smallest id.
 
-    A component of null ids only keeps one of its rows.
+    Of several rows of that id in one component the least fingerprint stays, and of rows alike
+    in both any one. Texts are shuffled once, by id and fingerprint, so no group of copies meets
+    in one task.
     """
-    ids = near_duplicates(docs)
-    keep = ids.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    prints = save(fingerprints(docs), "fingerprints")
+    names = named_components(prints)
+    keep = names.where(F.col("fp") == F.col("keep_fp")).select("fp", F.col("component_id").isNull().alias("_none"), F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id"))
+    schema = docs.withColumn("_fp", F.lit(0).cast("long")).schema
+    marked = docs.mapInArrow(_with_fingerprint, schema).withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    stays = marked.join(keep.withColumnRenamed("fp", "_fp"), ["_fp", "_none", "_id"], "left_semi")
+    return stays.dropDuplicates(["_fp", "_none", "_id"]).select(*docs.columns)

@@ -13,7 +13,7 @@ repeated ones by hash; a hot hash only lengthens the side that adaptive executio
 pairs of documents are made. Hashes have 96 bits.
 
 Null and empty texts have no sentences and are returned as they are. Texts of fewer than ``RUN``
-sentences have no run. Rows of one id are one document and lose the same sentences; a null id is
+sentences have no run. Rows of one id are one document for this; a null id is
 never first unless all holders of the run have null ids, and then nothing is removed. Other
 columns are carried through.
 """
@@ -91,31 +91,30 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct run of a document, at its first place in it."""
+    """Each distinct run of a document."""
     for piece, texts in text_pieces(batches):
-        hs, cs, ats, sizes = [], [], [], []
+        hs, cs, sizes = [], [], []
         for t in texts:
-            _, _, at, h, c = runs(t)
+            _, _, _, h, c = runs(t)
             _, first = np.unique(h, return_index=True)
-            hs.append(h[first]), cs.append(c[first]), ats.append(at[first]), sizes.append(len(first))
+            hs.append(h[first]), cs.append(c[first]), sizes.append(len(first))
         ids = piece.column("doc_id").take(pa.array(np.repeat(np.arange(len(texts)), sizes)))
-        yield pa.RecordBatch.from_pydict({"h": np.concatenate(hs).astype(np.int64), "c": np.concatenate(cs).astype(np.int32), "doc_id": ids, "at": np.concatenate(ats).astype(np.int32)})
+        yield pa.RecordBatch.from_pydict({"h": np.concatenate(hs).astype(np.int64), "c": np.concatenate(cs).astype(np.int32), "doc_id": ids})
 
 
 def without_repeats(text: bytes, repeated: set[int]) -> tuple[bytes, int, list[tuple[int, int]]]:
     """The text without covered sentences, the sentences it had, and the removed byte spans.
 
-    ``repeated`` has the sentence indexes of runs whose first occurrence is elsewhere; later
-    occurrences of a run within the text are covered as well.
+    ``repeated`` has the hashes of runs whose first occurrence is elsewhere; later occurrences
+    of a run within the text are covered as well.
     """
     starts, ends, at, h, _ = runs(text)
     if not len(at):
         return text, len(starts), []
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
     gone = np.ones(len(at), bool)
-    gone[first] = False
+    gone[np.unique(h, return_index=True)[1]] = False
     if repeated:
-        gone |= np.isin(at[first], list(repeated))[which]
+        gone |= np.isin(h, np.fromiter(repeated, np.int64, len(repeated)))
     edge = np.zeros(len(starts) + 1, np.int64)
     np.add.at(edge, at[gone], 1)
     np.add.at(edge, at[gone] + RUN, -1)
@@ -134,12 +133,12 @@ def without_repeats(text: bytes, repeated: set[int]) -> tuple[bytes, int, list[t
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, repeated): sentence indexes of a document's runs that a smaller id has as well."""
+    """(doc_id, repeated): hashes of a document's runs that a smaller id has as well."""
     ids = docs.select("doc_id", F.col("text").cast("string"))
-    spans = ids.mapInArrow(_first_of_each, f"h long, c int, doc_id {dict(ids.dtypes)['doc_id']}, at int")
+    spans = ids.mapInArrow(_first_of_each, f"h long, c int, doc_id {dict(ids.dtypes)['doc_id']}")
     first = spans.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = spans.join(first, ["h", "c"]).where(F.col("doc_id") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("repeated"))
+    return later.groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
