@@ -81,7 +81,7 @@ def test_without_labels_all_posteriors_are_equal_and_empty_tables_are_fine(spark
 def test_words_and_buckets(spark):
     rows = spark.createDataFrame([(1, "The cat, the CAT | sat."), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: (r["_n"], r["_buckets"]) for r in with_words(rows, ["doc_id"]).collect()}
-    assert got[1][0] == 5 and len(got[1][1]) == 4 and all(0 <= b < BUCKETS for b in got[1][1])
+    assert got[1][0] == 6 and len(got[1][1]) == 4 and all(0 <= b < BUCKETS for b in got[1][1])
     assert got[2] == (0, []) == got[3]
 
 

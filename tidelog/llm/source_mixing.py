@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import exp, log
+from math import log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,13 +64,17 @@ def with_words(docs: DataFrame, keep: list[str]) -> DataFrame:
     return words.select(*keep, F.size("_words").cast("long").alias("_n"), F.array_distinct(F.transform("_words", lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))).alias("_buckets"))
 
 
+def odds_summaries(value: Column) -> list[Column]:
+    """Mean and largest of ``value`` over a document's distinct buckets."""
+    mean = F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + value[b]) / F.greatest(F.size("_buckets"), F.lit(1))
+    return [mean, F.coalesce(F.array_max(F.transform("_buckets", lambda b: value[b])), F.lit(0.0))]
+
+
 def with_features(docs: DataFrame, keep: list[str], odds: list[list[float]]) -> DataFrame:
     """``keep``, ``_n`` and the features ``_x0..`` of the whole text."""
     x = [F.size("_buckets") / F.greatest(F.col("_n"), F.lit(1)), F.log1p("_n")]
     for values in odds:
-        value = array_of(values)
-        x.append(F.aggregate("_buckets", F.lit(0.0), lambda s, b, v=value: s + v[b]) / F.greatest(F.size("_buckets"), F.lit(1)))
-        x.append(F.coalesce(F.array_max(F.transform("_buckets", lambda b, v=value: v[b])), F.lit(0.0)))
+        x += odds_summaries(array_of(values))
     return with_words(docs, keep).select(*keep, "_n", *(c.alias(f"_x{i}") for i, c in enumerate(x)))
 
 
