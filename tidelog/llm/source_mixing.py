@@ -247,7 +247,9 @@ def op6_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each row with its rate and the copies drawn for it; rows of no copies leave.
 
-    A row's rate follows from its own text and the fitted steps, so no texts are shuffled.
+    A row's rate follows from its own text and the fitted steps, so no texts are shuffled. The
+    rated rows are written before rows leave: a filter on the copies would otherwise be pushed to
+    the scan with the whole computation of rates written out in it.
     """
     names = list(TARGETS)
     model = fit_membership(docs, table(spark, sf_dir, "labels"), label_domain(), names)
@@ -256,4 +258,4 @@ def apply_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     drop(rows)
     keep = [c for c in docs.columns if c not in ("rate", "copies")]
     rated = model.posteriors(docs, keep).select(*keep, rate_after(steps).alias("rate"))
-    return rated.withColumn("copies", draw(F.col("rate"), F.col("doc_id"), F.col("text"))).where("copies > 0")
+    return save(rated.withColumn("copies", draw(F.col("rate"), F.col("doc_id"), F.col("text"))), "rated").where("copies > 0")
