@@ -20,6 +20,7 @@ from math import isfinite
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tidelog.config import valid_topic as topic_ok
 from tidelog.errors import ProtocolError
@@ -29,7 +30,7 @@ KEYS = {"message": {"version", "event_id", "topic", "payload"}, "delivery": {"ve
 VERSION = 1
 #: Bytes of the header that a log record has before its text.
 RECORD_HEADER = 12
-DECODED = "ok boolean, message_id string, topic string, payload_json string, error string"
+DECODED = StructType([StructField("ok", BooleanType()), *(StructField(c, StringType()) for c in ("message_id", "topic", "payload_json", "error"))])
 
 _ID = re.compile(r"[A-Za-z0-9_-]{1,128}")
 #: Text that VARIANT may write in other bytes; it may also match inside strings, which then take the exact way.
@@ -100,7 +101,7 @@ def decode_one(raw: str | None, kind: str) -> tuple[bool, str | None, str | None
     return True, value["event_id"], value.get("topic"), payload, None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _exact(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         try:

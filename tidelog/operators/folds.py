@@ -1,21 +1,32 @@
 """Ordered folds: state that resets on its own thresholds, which window frames cannot express.
 
-A key (a sender, a route) is an ordered stream by definition, so its fold is sequential. Rows are
-shuffled by key once and sorted within the partition; a task then streams them in Arrow batches
-and carries one small state per key from batch to batch. No group is ever gathered in memory,
-and many keys share a task. The same classes run inside the streaming processors.
+A key (a sender, a route) is an ordered stream. Rows are shuffled by key once and sorted within
+the partition; a task then streams them in Arrow batches and carries one small state per key from
+batch to batch. No group is ever gathered in memory, and many keys share a task.
+
+A key of more than ``hot_rows`` rows would keep one task busy, so then rows are dealt in ranges of
+key and order instead, and a hot key spans many ranges. Each range is folded from a guessed entry
+state (a new one), then ranges whose entry turns out to be another are folded again, until the
+exit of every range is the entry of the next. Folds that reset on their thresholds forget where
+they began, so this takes few rounds; the result is the sequential one in any case. The driver
+holds one state per range.
+
+The same classes run inside the streaming processors.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.config import FastMode, GroupMode
+from tidelog.session import save
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 SEGMENT_HEADER = 16
@@ -31,33 +42,118 @@ class Fold:
         raise NotImplementedError
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold]) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold], hot_rows: int = 2_000_000) -> DataFrame:
     """``rows`` with the columns that the fold adds; ``make`` gives the state of a new key.
 
     ``order`` must be total within a key. Rows of a null key are one key.
     """
-    shape = make()
-    names, reads, adds = rows.columns, shape.reads, dict(shape.adds)
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > hot_rows:
+        return _fold_ranges(rows, keys, order, make, max(2, -(-largest // hot_rows)) * 8)
+    names = rows.columns
+    schema = _schema(rows, make)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _Walk(keys, make)
+        for batch in batches:
+            yield walk.fold(batch, names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _schema(rows: DataFrame, make: Callable[[], Fold]) -> str:
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema]
+    return ", ".join(f"`{n}` {k}" for n, k in [*kinds, *make().adds.items()])
+
+
+class _Walk:
+    """Folds batches that are sorted by key, with the state of the key it is at."""
+
+    def __init__(self, keys: list[str], make: Callable[[], Fold], entries: dict[int, bytes] | None = None):
+        self.keys, self.make, self.entries = keys, make, entries or {}
+        self.part = self.key = self.state = self.first = None
+
+    def enter(self, part: int | None, key: tuple) -> None:
+        begins = part != self.part or self.state is None
+        entry = self.entries.get(part) if begins else None
+        self.state = pickle.loads(entry) if entry is not None else self.make()
+        if begins:
+            self.part, self.first = part, key
+        self.key = key
+
+    def steps(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        n = batch.num_rows
+        parts = batch.column("_part").to_pylist() if "_part" in batch.schema.names else [None] * n
+        at = list(zip(*(batch.column(k).to_pylist() for k in self.keys)))
+        values = zip(*(batch.column(c).to_pylist() for c in self.make().reads))
+        for p, k, v in zip(parts, at, values):
+            if self.state is None or k != self.key or p != self.part:
+                if self.state is not None and p != self.part:
+                    self.left()
+                self.enter(p, k)
+            yield self.state.step(*v)
+
+    def left(self) -> None:
+        """Called when a range ends."""
+
+    def fold(self, batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+        out = list(self.steps(batch))
+        new = list(zip(*out)) if out else [()] * len(self.make().adds)
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {c: pa.array(x, _ARROW[t]) for (c, t), x in zip(self.make().adds.items(), new)})
+
+
+class _Edges(_Walk):
+    """The first and last key of each range and the state that it leaves."""
+
+    def __init__(self, *args: object):
+        super().__init__(*args)
+        self.out: list[tuple[int, bytes, bytes, bytes]] = []
+
+    def left(self) -> None:
+        self.out.append((self.part, pickle.dumps(self.first), pickle.dumps(self.key), pickle.dumps(self.state)))
+
+
+def _fold_ranges(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold], n_ranges: int) -> DataFrame:
+    names, schema = rows.columns, _schema(rows, make)
+    kept = save(rows.repartitionByRange(n_ranges, *keys, *order).withColumn("_part", F.spark_partition_id()), "fold-ranges")
+    ranged = lambda df: df.repartition("_part").sortWithinPartitions("_part", *keys, *order)
+    entries: dict[int, bytes] = {}
+    edges: dict[int, tuple[bytes, bytes, bytes]] = {}
+    again: set[int] | None = None
+    for _ in range(n_ranges + 1):
+
+        def look(batches: Iterator[pa.RecordBatch], entries=dict(entries)) -> Iterator[pa.RecordBatch]:
+            walk = _Edges(keys, make, entries)
+            for batch in batches:
+                for _ in walk.steps(batch):
+                    pass
+            if walk.state is not None:
+                walk.left()
+            columns = list(zip(*walk.out)) or [()] * 4
+            yield pa.RecordBatch.from_pydict({"p": pa.array(columns[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("first", "last", "leaves"), columns[1:])})
+
+        some = kept if again is None else kept.where(F.col("_part").isin(list(again)))
+        for r in ranged(some).mapInArrow(look, "p int, first binary, last binary, leaves binary").collect():
+            edges[r["p"]] = (bytes(r["first"]), bytes(r["last"]), bytes(r["leaves"]))
+        again, before = set(), None
+        for p in sorted(edges):
+            first, last, _ = edges[p]
+            entry = edges[before][2] if before is not None and edges[before][1] == first else None
+            if entry != entries.get(p):
+                entries[p] = entry
+                if first == last:
+                    again.add(p)  # what it leaves may be another state
+            before = p
+        if not again:
+            break
+    ready = {p: e for p, e in entries.items() if e is not None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        walk = _Walk(keys, make, ready)
         for batch in batches:
-            n = batch.num_rows
-            at = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * n
-            values = list(zip(*(batch.column(c).to_pylist() for c in reads))) if reads else [()] * n
-            out = []
-            for k, v in zip(at, values):
-                if state is None or k != key:
-                    key, state = k, make()
-                out.append(state.step(*v))
-            new = list(zip(*out)) if out else [()] * len(adds)
-            columns = {c: batch.column(c) for c in names}
-            yield pa.RecordBatch.from_pydict(columns | {c: pa.array(x, _ARROW[t]) for (c, t), x in zip(adds.items(), new)})
-
-    dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
-    schema = ", ".join(f"`{n}` {k}" for n, k in [*kinds, *adds.items()])
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+            yield walk.fold(batch, names)
+
+    return ranged(kept).mapInArrow(run, schema)
 
 
 class Rotation(Fold):

@@ -113,9 +113,9 @@ QUERIES = {
         dedup_first_wins,
         f"WITH {ORDERS_SQL} SELECT message_id, l_linenumber AS line, l_partkey AS part, l_extendedprice, count(*) OVER (PARTITION BY message_id) AS copies FROM od QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY {_TOTAL}) = 1",
     ),
-    "ref_memory_bytes": (memory_bytes, f"WITH {MESSAGES_SQL} SELECT sender_id, count(*) AS rows, CAST(sum(frame_size) AS BIGINT) AS bytes, count(*) FILTER (at < 1705276800000000) AS eligible FROM e GROUP BY 1"),
+    "ref_memory_bytes": (memory_bytes, f"WITH {MESSAGES_SQL} SELECT sender_id, count(*) AS rows, CAST(sum(frame_size) AS BIGINT) AS bytes, count(*) FILTER (tick < 1705276800000000) AS eligible FROM e GROUP BY 1"),
     "ref_next_deadline": (
         next_deadline,
-        f"WITH {MESSAGES_SQL} SELECT message_id, least(at + 5000000, CASE WHEN event_type = 'error' THEN at + 3000000 END, CASE WHEN seq % 7 = 0 THEN at + 1000000 END) AS deadline FROM m",
+        f"WITH {MESSAGES_SQL} SELECT message_id, least(tick + 5000000, CASE WHEN event_type = 'error' THEN tick + 3000000 END, CASE WHEN seq % 7 = 0 THEN tick + 1000000 END) AS deadline FROM m",
     ),
 }

@@ -89,9 +89,9 @@ def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _timed(n: int, size: str, every: int, extra: str) -> str:
     """A fold that resets by count, size, extra condition or time; the timer fires before the row."""
-    reset = f"(n0 + 1 >= {n} OR {size} OR {extra} OR at - last0 >= {every})"
+    reset = f"(n0 + 1 >= {n} OR {size} OR {extra} OR tick - last0 >= {every})"
     return f"""
-    SELECT sender_id, seq, rn, CASE WHEN {reset} THEN at ELSE last0 END AS last, CASE WHEN {reset} THEN 0 ELSE n0 + 1 END AS n,
+    SELECT sender_id, seq, rn, CASE WHEN {reset} THEN tick ELSE last0 END AS last, CASE WHEN {reset} THEN 0 ELSE n0 + 1 END AS n,
            CASE WHEN {reset} THEN 0 ELSE b0 + frame_size END AS b, k0 + CASE WHEN {reset} THEN 1 ELSE 0 END AS k"""
 
 
@@ -99,12 +99,12 @@ def _recursive(n: int, size: str, every: int, extra: str) -> str:
     step = _timed(n, size, every, extra)
     zero = "CAST(0 AS BIGINT)"
     return f"""WITH RECURSIVE {MESSAGES_SQL},
-f AS ({step} FROM (SELECT *, at AS last0, {zero} AS n0, {zero} AS b0, {zero} AS k0 FROM o WHERE rn = 1)
+f AS ({step} FROM (SELECT *, tick AS last0, {zero} AS n0, {zero} AS b0, {zero} AS k0 FROM o WHERE rn = 1)
   UNION ALL {step} FROM (
-    SELECT o.*, CASE WHEN f.n > 0 AND f.last + {every} <= o.at THEN f.last + {every} ELSE f.last END AS last0,
-           CASE WHEN f.n > 0 AND f.last + {every} <= o.at THEN 0 ELSE f.n END AS n0,
-           CASE WHEN f.n > 0 AND f.last + {every} <= o.at THEN 0 ELSE f.b END AS b0,
-           f.k + CASE WHEN f.n > 0 AND f.last + {every} <= o.at THEN 1 ELSE 0 END AS k0
+    SELECT o.*, CASE WHEN f.n > 0 AND f.last + {every} <= o.tick THEN f.last + {every} ELSE f.last END AS last0,
+           CASE WHEN f.n > 0 AND f.last + {every} <= o.tick THEN 0 ELSE f.n END AS n0,
+           CASE WHEN f.n > 0 AND f.last + {every} <= o.tick THEN 0 ELSE f.b END AS b0,
+           f.k + CASE WHEN f.n > 0 AND f.last + {every} <= o.tick THEN 1 ELSE 0 END AS k0
     FROM f JOIN o ON o.sender_id = f.sender_id AND o.rn = f.rn + 1))"""
 
 

@@ -31,7 +31,7 @@ def encoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MESSAGES_SQL = """m AS (
   SELECT user_id AS sender_id, event_id AS seq, 'evt-' || event_id AS message_id, 'events/' || event_type AS topic,
-         CAST(json(props) AS VARCHAR) AS payload_json, event_type, epoch_us(ts) AS at FROM events),
+         CAST(json(props) AS VARCHAR) AS payload_json, event_type, epoch_us(ts) AS tick FROM events),
 e AS (
   SELECT *, CAST(strlen(encoded) + 12 AS BIGINT) AS frame_size FROM (
     SELECT *, '{"event_id":"' || message_id || '","payload":' || payload_json || ',"topic":"' || topic || '","version":1}' AS encoded FROM m)),
