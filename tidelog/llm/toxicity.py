@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import bounded_labels, held_out, isotonic, table, text_pieces
 from tidelog.session import save
 
-PREFIXES = (4, 5, 6)
+#: Lengths of beginnings; a beginning is a feature of longer words only, as a stem alone may be harmless.
+PREFIXES = (3, 4, 5, 6, 7)
 #: Tokens of one training sequence; longer texts are several sequences. Tagging knows no such limit.
 SEQUENCE = 256
 BINS = 200
@@ -46,7 +47,7 @@ def token_features(token: str) -> list[str]:
     word = _EDGES.sub("", token).lower()
     if not word:
         return []
-    return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) >= n)]
+    return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
 class Emissions(dict):
