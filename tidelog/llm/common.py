@@ -20,7 +20,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches so that a piece holds about ``max_bytes`` of text, or one longer text.
 
     Yields the piece and its texts as UTF-8 bytes; a null text is empty.
