@@ -1,11 +1,11 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 Documents carry labels, tokens do not, so token labels come first. Over a bounded sample of
-labelled documents that are not held out, the words and word beginnings that are found nearly
-only in toxic documents (a lower confidence bound of their toxic share is over one half) are
-candidates; of these, a greedy cover keeps those that explain toxic documents not yet
-explained, so words that merely come with copies of one document are not kept. A token is
-labelled toxic if its document is and a kept feature matches it.
+labelled documents that are not held out, the words and word beginnings that are found nearly only in
+toxic documents (a lower confidence bound of their toxic share is over one half) are candidates;
+those are kept that toxic documents have between different neighbours, so words that merely come
+with copies of one document are not. A beginning counts where no whole word is a candidate. A
+token is labelled toxic if its document is and a kept feature matches it.
 
 A two-state chain with those features, a bias and transitions is then trained on the labelled
 tokens by gradients of the regularised likelihood summed by partition. Every document is
@@ -181,37 +181,38 @@ def _counts(total: Counter, toxic: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "n": pa.array([total[f] for f in names], pa.int64()), "toxic": pa.array([toxic[f] for f in names], pa.int64())})
 
 
-def toxic_features(sample: DataFrame, max_candidates: int = 5000, z: float = 2.2) -> tuple[str, ...]:
-    """The features that label tokens, from rows of (text, y).
+def toxic_features(sample: DataFrame, max_candidates: int = 5000, z: float = 2.2, least: int = 3) -> tuple[str, ...]:
+    """The features that label tokens, from rows of (text, y); at most ``max_candidates``, the surest.
 
-    The driver gets the candidates found in each toxic document of the sample, whose size is bounded.
+    A feature is kept if toxic documents have it between ``least`` different pairs of neighbours.
     """
     counts = sample.mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     share, zz = F.col("toxic") / F.col("n"), z * z
     lower = (share + zz / (2 * F.col("n")) - z * F.sqrt((share * (1 - share) + zz / (4 * F.col("n"))) / F.col("n"))) / (1 + zz / F.col("n"))
-    top = counts.where(F.col("toxic") >= 3).withColumn("lower", lower).where("lower > 0.5").orderBy(F.desc("lower"), F.desc("toxic"), "feature").limit(max_candidates)
+    top = counts.where(F.col("toxic") >= least).withColumn("lower", lower).where("lower > 0.5").orderBy(F.desc("lower"), F.desc("toxic"), "feature").limit(max_candidates)
     candidates = {r["feature"] for r in top.select("feature").collect()}
     if not candidates:
         return ()
 
-    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for _, texts in text_pieces(batches):
-            found = [sorted({f for w in set(t.decode("utf-8", "replace").split()) for f in token_features(w)} & candidates) for t in texts]
-            yield pa.RecordBatch.from_pydict({"found": pa.array(found, pa.list_(pa.string()))})
-
-    left = [set(r["found"]) for r in sample.where("y = 1").mapInArrow(which, "found array<string>").collect()]
-    kept: list[str] = []
-    while left:
-        gain = Counter(f for found in left for f in found)
-        if not gain:
-            break
-        # of equally useful features the most specific: whole words, then long beginnings
-        best = max(gain, key=lambda f: (gain[f], f[0] == "w", len(f), f))
-        if gain[best] < 3:
-            break
-        kept.append(best)
-        left = [x for x in left if best not in x]
-    return tuple(kept)
+            found = set()
+            for t in texts:
+                tokens = ["", *t.decode("utf-8", "replace").split(), ""]
+                for k, w in enumerate(tokens[1:-1], 1):
+                    if (own := known.get(w)) is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        own = known[w] = [f for f in token_features(w) if f in candidates]
+                    # the first is the whole word, if that is a candidate
+                    for f in own[:1] if own and own[0][0] == "w" else own:
+                        found.add((f, f"{tokens[k - 1]} {tokens[k + 1]}"))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in rows], pa.string()), "beside": pa.array([x for _, x in rows], pa.string())})
+
+    places_of = sample.where("y = 1").mapInArrow(places, "feature string, beside string").groupBy("feature").agg(F.count_distinct("beside").alias("places"))
+    return tuple(sorted(r["feature"] for r in places_of.where(F.col("places") >= least).select("feature").collect()))
 
 
 def _sequences(features: tuple[str, ...]):
