@@ -18,7 +18,7 @@ import re
 from math import isfinite
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -174,23 +174,45 @@ _CANONICAL = {
 }
 
 
-def decode(raw: Column, kind: str = "message") -> Column:
-    """A struct of ``DECODED`` for each wire text (string, or binary taken as UTF-8)."""
+def _parts(text: Column, kind: str) -> dict[str, Column]:
+    """What the pattern of canonical text takes apart; empty strings where it does not fit."""
+    null = F.lit(None).cast("string")
+    take = lambda group: F.regexp_extract(text, _CANONICAL[kind], group)
+    return {"message_id": take(1), "payload": take(2) if kind != "ack" else null, "topic": take(3) if kind == "message" else null}
+
+
+def _fits(text: Column, parts: dict[str, Column], kind: str) -> Column:
+    """True for text that is canonical already and valid."""
     from tidelog.functions.validity import valid_topic
 
-    text = raw.cast("string")
-    null = F.lit(None).cast("string")
-    pattern = _CANONICAL[kind]
-    message_id = F.regexp_extract(text, pattern, 1)
-    payload = F.regexp_extract(text, pattern, 2) if kind != "ack" else null
-    topic = F.regexp_extract(text, pattern, 3) if kind == "message" else null
-    utf8 = F.coalesce(F.is_valid_utf8(text), F.lit(True))
-    fits = utf8 & text.rlike(pattern)
+    fits = F.is_valid_utf8(text) & text.rlike(_CANONICAL[kind])
     if kind != "ack":
-        fits = fits & plain(payload) & (variant_json(payload) == payload)
+        fits = fits & plain(parts["payload"]) & (variant_json(parts["payload"]) == parts["payload"])
     if kind == "message":
-        fits = fits & plain(topic) & valid_topic(topic)
-    fits = F.coalesce(fits, F.lit(False))
-    good = F.struct(F.lit(True).alias("ok"), message_id.alias("message_id"), topic.alias("topic"), payload.alias("payload_json"), null.alias("error"))
+        fits = fits & plain(parts["topic"]) & valid_topic(parts["topic"])
+    return F.coalesce(fits, F.lit(False))
+
+
+def _struct(text: Column, parts: dict[str, Column], fits: Column, kind: str) -> Column:
+    null = F.lit(None).cast("string")
+    utf8 = F.coalesce(F.is_valid_utf8(text), F.lit(True))
+    good = F.struct(F.lit(True).alias("ok"), parts["message_id"].alias("message_id"), parts["topic"].alias("topic"), parts["payload"].alias("payload_json"), null.alias("error"))
     broken = F.struct(F.lit(False).alias("ok"), null.alias("message_id"), null.alias("topic"), null.alias("payload_json"), F.lit("not_utf8").alias("error"))
     return F.when(fits, good).when(~utf8, broken).otherwise(_decoders[kind](F.when(~fits & utf8, text)))
+
+
+def decode(raw: Column, kind: str = "message") -> Column:
+    """A struct of ``DECODED`` for each wire text (string, or binary taken as UTF-8)."""
+    text = raw.cast("string")
+    parts = _parts(text, kind)
+    return _struct(text, parts, _fits(text, parts, kind), kind)
+
+
+def decode_rows(rows: DataFrame, raw: Column, kind: str = "message", name: str = "d") -> DataFrame:
+    """``rows`` with the struct of ``decode``, computed step by step so that no pattern is matched more than once."""
+    text = F.col("_text")
+    staged = rows.withColumn("_text", raw.cast("string"))
+    staged = staged.withColumns({f"_{k}": c for k, c in _parts(text, kind).items()})
+    parts = {k: F.col(f"_{k}") for k in ("message_id", "payload", "topic")}
+    staged = staged.withColumn("_fits", _fits(text, parts, kind))
+    return staged.withColumn(name, _struct(text, parts, F.col("_fits"), kind)).select(*rows.columns, name)

@@ -12,24 +12,29 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.codec import decode, encode_ack, encode_delivery
+from tidelog.functions.codec import decode_rows, encode_ack, encode_delivery
 from tidelog.session import drop, save
 
 
 @dataclass(frozen=True)
 class Forwarded:
-    """Deliveries (topic, message_id, encoded), and what was rejected (raw, error)."""
+    """Deliveries (topic, message_id, encoded), and what was rejected (raw, error); both read ``decoded``."""
 
     deliveries: DataFrame
     rejects: DataFrame
+    decoded: DataFrame
 
 
 def forward(wire: DataFrame, relay_topic: str | None = None, raw: str = "value") -> Forwarded:
-    """Decode wire rows and project the good ones; rows of other topics are ignored, as the subscription would."""
+    """Decode wire rows and project the good ones; rows of other topics are ignored, as the subscription would.
+
+    Decoded rows are written once: both outputs filter them, and a filter would otherwise be
+    pushed below the decoder with the decoder in it.
+    """
     rows = wire if relay_topic is None else wire.where(F.col("topic") == relay_topic)
-    decoded = rows.select(F.col(raw).alias("raw"), decode(F.col(raw)).alias("d"))
+    decoded = save(decode_rows(rows.select(F.col(raw).alias("raw")), F.col("raw")), "decoded")
     good = decoded.where("d.ok").select("d.topic", "d.message_id", encode_delivery(F.col("d.message_id"), F.col("d.payload_json")).alias("encoded"))
-    return Forwarded(good, decoded.where("NOT d.ok").select("raw", "d.error"))
+    return Forwarded(good, decoded.where("NOT d.ok").select("raw", "d.error"), decoded)
 
 
 def acks_of(confirmed: DataFrame) -> DataFrame:
@@ -53,6 +58,7 @@ def relay_batch(publish: Callable[[DataFrame], DataFrame], acknowledge: Callable
             if reject is not None:
                 reject(out.rejects)
             drop(status)
+            drop(out.decoded)
         finally:
             drop(kept)
 

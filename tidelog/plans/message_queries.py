@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.codec import decode, encode_ack, encode_delivery
+from tidelog.functions.codec import decode_rows, encode_ack, encode_delivery
 from tidelog.functions.validity import missing_keys, suback_granted, valid_id, valid_topic
 from tidelog.operators.relay import forward
 from tidelog.plans.views import MESSAGES_SQL, encoded_messages, messages, table
@@ -51,7 +51,7 @@ def wire_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wire_texts(spark, sf_dir).select("seq", decode(F.col("value")).alias("d")).select("seq", "d.*")
+    return decode_rows(wire_texts(spark, sf_dir), F.col("value")).select("seq", "d.*")
 
 
 def id_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
