@@ -11,10 +11,9 @@ Rates of documents are then fitted: nonnegative, from one each, so that the expe
 each domain, the sum over documents of rate, tokens and posterior, come to the domain's share of
 the token budget. The least squares problem takes errors relative to a domain's tokens at rate
 one and distances weighted by a document's tokens. In these units the gradient of a document is
-its posterior times the relative errors and its curvature is one at most, so a projected
-gradient step of length one always descends; spectral step lengths make it quick. A step needs
-one aggregation of a number per domain; a rate is a function of the posterior and of the steps,
-so no state is joined.
+its posterior times a vector of the domains, so a projected step needs one aggregation of a few
+numbers per domain; steps are scaled by the curvature of the documents still in play. A rate is a
+function of the posterior and of the steps, so no state is joined.
 
 Null and empty texts have no tokens and a posterior like any other. Repeated rows each get the
 same rate. Ids without a label, with a null one, or held out, teach nothing; an id with several
@@ -184,37 +183,40 @@ def rate_after(steps: list[list[float]]) -> Column:
     return F.aggregate(errors, F.lit(1.0), lambda r, e: F.greatest(r - total([F.col(f"_p{i}") * e[i] for i in range(k)]), F.lit(0.0)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None, max_steps: int = 40, tolerance: float = 0.005, save_every: int = 6) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None, max_steps: int = 40, tolerance: float = 0.005, save_every: int = 6, ridge: float = 1e-3) -> list[list[float]]:
     """The projected gradient steps, a number per domain each, for rows of (_n, _p0..).
 
-    A step is the relative errors times a spectral step length (one for the first step, then the
-    last step's squared length over the curvature along it). It ends when every domain is within
-    ``tolerance`` of its target or five steps have brought nothing; of all iterates the best counts.
+    The gradient is scaled by the curvature of the documents whose rate is not zero, a matrix of
+    domains summed in the same pass as the totals; a step after one that did not descend is
+    halved. It ends when every domain is within ``tolerance`` of its target or five steps have
+    brought nothing; of all iterates the best counts.
     """
     k = len(targets)
     p = [f"_p{i}" for i in range(k)]
-
-    def sums(df: DataFrame, now: Column, before: Column) -> tuple[list[float], float]:
-        got = [v or 0.0 for v in df.agg(*(F.sum(now * F.col("_n") * F.col(c)) for c in p), F.sum(F.col("_n") * (now - before) * (now - before))).first()]
-        return got[:k], got[k]
-
-    one, _ = sums(rows, F.lit(1.0), F.lit(1.0))
-    budget = sum(one) if budget is None else budget
-    goal = [budget * t / sum(targets) for t in targets]
-    errors = lambda at: [(a - g) / u if u > 0 else 0.0 for a, g, u in zip(at, goal, one)]
-    loss = lambda e: sum(x * x * u for x, u in zip(e, one))
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(df: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        live = F.when(rate > 0, F.col("_n")).otherwise(F.lit(0))
+        got = [v or 0.0 for v in df.agg(*(F.sum(rate * F.col("_n") * F.col(c)).alias(f"t{c}") for c in p), *(F.sum(live * F.col(p[i]) * F.col(p[j])).alias(f"c{i}_{j}") for i, j in cells)).first()]
+        bend = np.zeros((k, k))
+        for (i, j), v in zip(cells, got[k:]):
+            bend[i, j] = bend[j, i] = v
+        return np.array(got[:k]), bend
+
+    now, bend = sums(rows, F.lit(1.0))
+    unit = np.where(now > 0, 1 / np.sqrt(np.maximum(now, 1e-12)), 0.0)  # errors are relative to the totals at rate one
+    goal = (now.sum() if budget is None else budget) * np.array(targets) / sum(targets)
+    loss = lambda at: float(np.square((at - goal) * unit).sum())
     steps: list[list[float]] = []
-    state, rate, now, length = rows, F.lit(1.0), one, 1.0
-    losses = [loss(errors(one))]
-    while len(steps) < max_steps and any(abs(a - g) > tolerance * g for a, g in zip(now, goal)) and losses[-1] > 0:
+    state, rate, losses = rows, F.lit(1.0), [loss(now)]
+    while len(steps) < max_steps and losses[-1] > 0 and (np.abs(now - goal) > tolerance * goal).any():
         if len(losses) > 5 and min(losses[-5:]) >= min(losses[:-5]) * (1 - 1e-4):
             break
-        steps.append([length * e for e in errors(now)])
-        before, rate, last = rate, step_of(rate, steps[-1]), now
-        now, moved = sums(state, rate, before)
-        losses.append(loss(errors(now)))
-        bend = sum((a - b) ** 2 / u for a, b, u in zip(now, last, one) if u > 0)
-        length = min(max(moved / bend, 1.0), 100.0) if bend > 0 and losses[-1] < 2 * min(losses) else 1.0
+        solved = np.linalg.solve(bend * np.outer(unit, unit) + ridge * np.eye(k), (now - goal) * unit) * unit
+        steps.append((solved * (0.5 if losses[-1] > min(losses) else 1.0)).tolist())
+        rate = step_of(rate, steps[-1])
+        now, bend = sums(state, rate)
+        losses.append(loss(now))
         if len(steps) % save_every == 0:  # else the expression grows with the steps
             done = save(state.select("_n", *p, rate.alias("_rate")), "rates")
             if state is not rows:
