@@ -71,3 +71,35 @@ def test_stage_keeps_first_holders_and_clean_rows(spark):
     assert {d for d, p in want.items() if p or not parts(dict(rows)[d])} | {99} == set(out)
     assert all(r["n_chars"] == len(r["text"]) for d, r in out.items() if d != 99)
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def windows(text, n=50):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_repeated_windows_of_50_words_are_found_whatever_the_shape(spark):
+    pick = random.Random(9)
+    words = lambda n: pick.choices([f"v{i}" for i in range(5000)], k=n)
+    rows = []
+    for k in range(20):  # short lines, and passages without a full stop behind different words
+        menu = "\n".join(" ".join(words(pick.randrange(1, 5))) for _ in range(40))
+        flow = " ".join(words(70))
+        for copy in range(2):
+            i = 4 * k + 2 * copy
+            rows.append((i, " ".join(words(12)) + ".\n" + menu + "\n" + " ".join(words(9)) + "."))
+            rows.append((i + 1, " ".join(words(pick.randrange(1, 40))) + " " + flow + " " + " ".join(words(pick.randrange(1, 40))) + "."))
+    rows.append((500, "Enststung ench.\n" * 60))
+    assert {d for d, t in rows if any(windows(t) & windows(u) for e, u in rows if e < d)} == {d for d, _ in rows if d % 4 > 1}
+    out = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for d, _ in sorted(rows):
+        assert not windows(out[d]) & seen, d
+        seen |= windows(out[d])
+    assert all(out[d] == t for d, t in rows if d % 4 < 2 and d != 500)
+    assert len(out[500].split()) < 50
+
+
+def test_a_piece_of_a_long_sentence_is_short():
+    for text in ("a " * 300, " ".join(WORDS), "x y " * 40):
+        assert max(sentences(text.encode())[2]) <= 8 and sum(sentences(text.encode())[2]) == len(text.split())

@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: a sentence ends with a line, with a full stop, question or
-exclamation mark once it has ``MIN_WORDS`` words, or after ``MAX_WORDS`` words. Every run of
-``RUN`` consecutive sentences with ``RUN_WORDS`` words or more is hashed, case and the kind of
-white space aside. A run's first occurrence is in the document of the smallest id that holds
+exclamation mark once it has ``MIN_WORDS`` words. One of more than ``MAX_WORDS`` words is cut
+where the hash of two neighbouring words is the least of ``WINDOW`` in a row, so the cuts follow
+the words alone and two copies are cut alike whatever stands before them; pieces have ``WINDOW``
+words at most. At every sentence a run begins, of ``RUN`` sentences or as many more as it takes
+to come to ``RUN_WORDS`` words. It is hashed, case and the kind of white space aside. A run's first occurrence is in the document of the smallest id that holds
 it, there the first in the text; sentences covered by any other occurrence are removed with the
 white space behind them.
 
@@ -13,7 +15,7 @@ repeated ones by hash; a hot hash only lengthens the side that adaptive executio
 pairs of documents are made. Hashes have 96 bits.
 
 Null and empty texts have no sentences and are returned as they are. Texts of fewer than ``RUN``
-sentences have no run. Rows of one id are one document for this; a null id is
+sentences or ``RUN_WORDS`` words have no run. Rows of one id are one document for this; a null id is
 never first unless all holders of the run have null ids, and then nothing is removed. Other
 columns are carried through.
 """
@@ -30,13 +32,23 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import table, text_pieces
 
-RUN, RUN_WORDS, MIN_WORDS, MAX_WORDS = 3, 15, 5, 20
+RUN, RUN_WORDS, MIN_WORDS, MAX_WORDS, WINDOW = 3, 15, 5, 20, 8
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
 
+def cuts_by_words(words: list[bytes]) -> list[int]:
+    """Words before each cut of a long sentence: a cut is the least pair of some ``WINDOW`` neighbouring pairs."""
+    one = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    with np.errstate(over="ignore"):
+        pair = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ one[1:]
+        pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    least = np.lib.stride_tricks.sliding_window_view(pair, WINDOW).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)) + 1).tolist()
+
+
 def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end byte and words of each sentence."""
     raw = np.frombuffer(text, np.uint8)
@@ -56,11 +68,9 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cuts, at = [], 0  # index of the word after each sentence
     for w, line_ends in zip(may_end.tolist(), last[may_end].tolist()):
         size = w + 1 - at
-        while size > MAX_WORDS:
-            at += MAX_WORDS
-            cuts.append(at)
-            size -= MAX_WORDS
         if size and (line_ends or size >= MIN_WORDS):
+            if size > MAX_WORDS:
+                cuts += [at + c for c in cuts_by_words(text[starts[at] : ends[w]].lower().split())]
             at = w + 1
             cuts.append(at)
     cut = np.array(cuts)
@@ -68,26 +78,29 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[first], ends[cut - 1], cut - first
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence starts and ends; index of the first sentence, hash and check of each run that counts."""
+def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence starts and ends; index of the first sentence, number of sentences, hash and check of each run."""
     starts, ends, words = sentences(text)
-    n = len(starts) - RUN + 1
+    total = np.cumsum(np.concatenate([[0], words]))
+    at = np.arange(len(starts))
+    size = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS) - at, RUN)
+    at = np.flatnonzero(at + size <= len(starts))
+    size = size[at]
     none = np.zeros(0, np.int64)
-    if n < 1:
-        return starts, ends, none, none, none
+    if not len(at):
+        return starts, ends, none, none, none, none
     low = text.lower()
     digest = xxhash.xxh3_64_intdigest
     one = np.array([digest(b" ".join(low[a:b].split())) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
     with np.errstate(over="ignore"):
-        h, c = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        for k in range(RUN):
-            h = (h ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-            c = (c + one[k : k + n] + np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            c ^= c >> np.uint64(29)
-    total = np.cumsum(np.concatenate([[0], words]))
-    at = np.flatnonzero(total[RUN:] - total[:-RUN] >= RUN_WORDS)
-    return starts, ends, at, h[at].view(np.int64), (c[at] >> np.uint64(33)).astype(np.int32)
+        h, c = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for k in range(int(size.max())):
+            m = np.flatnonzero(size > k)
+            h[m] = (h[m] ^ one[at[m] + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h[m] ^= h[m] >> np.uint64(32)
+            c[m] = (c[m] + one[at[m] + k] + np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            c[m] ^= c[m] >> np.uint64(29)
+    return starts, ends, at, size, h.view(np.int64), (c >> np.uint64(33)).astype(np.int32)
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +108,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for piece, texts in text_pieces(batches):
         hs, cs, sizes = [], [], []
         for t in texts:
-            _, _, _, h, c = runs(t)
+            _, _, _, _, h, c = runs(t)
             _, first = np.unique(h, return_index=True)
             hs.append(h[first]), cs.append(c[first]), sizes.append(len(first))
         ids = piece.column("doc_id").take(pa.array(np.repeat(np.arange(len(texts)), sizes)))
@@ -108,7 +121,7 @@ def without_repeats(text: bytes, repeated: set[int]) -> tuple[bytes, int, list[t
     ``repeated`` has the hashes of runs whose first occurrence is elsewhere; later occurrences
     of a run within the text are covered as well.
     """
-    starts, ends, at, h, _ = runs(text)
+    starts, ends, at, size, h, _ = runs(text)
     if not len(at):
         return text, len(starts), []
     gone = np.ones(len(at), bool)
@@ -117,7 +130,7 @@ def without_repeats(text: bytes, repeated: set[int]) -> tuple[bytes, int, list[t
         gone |= np.isin(h, np.fromiter(repeated, np.int64, len(repeated)))
     edge = np.zeros(len(starts) + 1, np.int64)
     np.add.at(edge, at[gone], 1)
-    np.add.at(edge, at[gone] + RUN, -1)
+    np.add.at(edge, at[gone] + size[gone], -1)
     covered = np.cumsum(edge[:-1]) > 0
     if not covered.any():
         return text, len(starts), []
