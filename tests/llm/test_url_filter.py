@@ -53,6 +53,20 @@ def test_many_children_become_a_wildcard(spark):
     assert {r["template"] for r in out.select("template").distinct().collect()} == {"/user/*/post"}
 
 
+def test_a_section_with_labels_is_judged_by_itself_among_many(spark):
+    names = [f"{a}y{b}z" for a in "ghijklmn" for b in "opqrstuvw"]
+    rows, labels = [], []
+    for host, odd in (("good.io", 0), ("bad.io", 1)):
+        for k, name in enumerate(names):
+            for _ in range(30):
+                rows.append((len(rows), f"http://{host}/{name}/{len(rows)}"))
+                labels.append((len(rows) - 1, odd if k == 7 else 1 - odd))
+        rows += [(len(rows) + i, f"http://{host}/{name}q/x") for i, name in enumerate(names)]
+    out = {r["page_id"]: r for r in filter_urls(frame(spark, rows), spark.createDataFrame(labels, "page_id long, good int")).collect()}
+    assert all(out[i]["verdict"] == ("allow" if good else "block") for i, good in labels)
+    assert {out[i]["template"] for i, u in rows if u.endswith("q/x")} == {"/*/x"}
+
+
 def test_empty_table_and_no_python(spark):
     none = frame(spark, URLS).where("false")
     assert filter_urls(none, spark.createDataFrame([], "page_id long, good int")).count() == 0

@@ -2,8 +2,9 @@
 
 DataFrame functions only. The tree is built level by level. Within a host and a parent
 template, segments that are variable by shape (numbers, hexadecimal ids, dates) become a typed
-wildcard, and a level with many distinct children relative to its rows becomes ``*``. Sibling
-branches whose labelled purity does not differ from their pooled siblings (a two-proportion
+wildcard, and on a level with many distinct children, or many relative to its rows, those of few
+rows or labels become ``*``; a child with enough of both stays a branch however many siblings it
+has. Sibling branches whose labelled purity does not differ from their pooled siblings (a two-proportion
 z-test) are merged, so that their labels count together. A template is rejected when its
 purity, smoothed towards the corpus prior, is below ``min_purity``.
 
@@ -77,30 +78,32 @@ def segment_shape(segment: Column) -> Column:
     )
 
 
-def url_templates(urls: DataFrame, depth: int = 4, max_children: int = 50, max_distinct_share: float = 0.5) -> DataFrame:
+def url_templates(urls: DataFrame, depth: int = 4, max_children: int = 50, max_distinct_share: float = 0.5, min_rows: int = 20, min_labelled: int = 5) -> DataFrame:
     """Adds ``parent`` and ``template`` to rows of (host, path).
 
-    ``urls`` has one row per distinct host and path with its row count ``n``. Level by level,
-    children of a (host, parent) with over ``max_children`` distinct values, or with more
-    distinct values than ``max_distinct_share`` of at least 20 rows, become ``*``. Segments
+    ``urls`` has one row per distinct host and path with its row count ``n`` and how many of them
+    are ``labelled``. Level by level, children of a (host, parent) with over ``max_children``
+    distinct values, or with more distinct values than ``max_distinct_share`` of at least 20
+    rows, become ``*``, save those of ``min_rows`` rows and ``min_labelled`` labels. Segments
     beyond ``depth`` become one ``**``. ``parent`` is the template without its last segment.
     """
     parts = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
     out = urls.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
     for i in range(depth):
         out = out.withColumn("seg", segment_shape(F.get(F.col("parts"), F.lit(i))))
+        own = out.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"))
         children = (
-            out.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"))
-            .groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("rows"))
+            own.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("rows"))
             .where((F.col("children") > max_children) | ((F.col("rows") >= 20) & (F.col("children") > max_distinct_share * F.col("rows"))))
             .select("host", "template", F.lit(True).alias("wild"))
         )
-        seg = F.when(F.col("wild") & ~F.col("seg").startswith("{"), F.lit("*")).otherwise(F.col("seg"))
-        out = out.join(children, ["host", "template"], "left").withColumn("seg", seg).withColumn(
+        branch = own.where((F.col("n") >= min_rows) & (F.col("labelled") >= min_labelled)).select("host", "template", "seg", F.lit(True).alias("branch"))
+        seg = F.when(F.col("wild") & F.col("branch").isNull() & ~F.col("seg").startswith("{"), F.lit("*")).otherwise(F.col("seg"))
+        out = out.join(children, ["host", "template"], "left").join(branch, ["host", "template", "seg"], "left").withColumn("seg", seg).withColumn(
             "parent", F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("template"))
         ).withColumn(
             "template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "seg"))
-        ).drop("wild", "seg")
+        ).drop("wild", "branch", "seg")
         out = save(out, "url-tree")  # the next level reads it twice
     deep = F.size("parts") > depth
     return (
