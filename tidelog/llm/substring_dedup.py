@@ -33,73 +33,89 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import table, text_pieces
 
 RUN, RUN_WORDS, MIN_WORDS, MAX_WORDS, WINDOW = 3, 15, 5, 20, 8
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[str, np.ndarray] = {}
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
 
-def cuts_by_words(words: list[bytes]) -> list[int]:
-    """Words before each cut of a long sentence: a cut is the least pair of some ``WINDOW`` neighbouring pairs."""
-    one = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    with np.errstate(over="ignore"):
-        pair = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ one[1:]
-        pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    least = np.lib.stride_tricks.sliding_window_view(pair, WINDOW).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)) + 1).tolist()
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
 
 
-def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end byte and words of each sentence."""
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the two hash bases and of their inverses, modulo 2 ** 64."""
+    if len(_powers.get("up", ((),))[0]) < n:
+        size = max(2 * n, 1 << 14)
+        grow = lambda bases: np.cumprod(np.array([[1] + [b] * (size - 1) for b in bases], np.uint64), axis=1)
+        _powers["up"], _powers["down"] = grow(_BASES), grow([pow(b, -1, 1 << 64) for b in _BASES])
+    return _powers["up"][:, :n], _powers["down"][:, :n]
+
+
+def _cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte and hash of each word, and the index of the word after each sentence."""
     raw = np.frombuffer(text, np.uint8)
     none = np.zeros(0, np.int64)
-    if not len(raw):
-        return none, none, none
-    edge = np.diff(_SPACE[raw].astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    n = len(starts)
+    words = text.lower().split()
+    n = len(words)
     if not n:
-        return none, none, none
+        return none, none, none.view(np.uint64), none
+    edge = np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     lines = np.flatnonzero(raw == 10)
     last = np.zeros(n, bool)
     last[np.searchsorted(starts, lines) - 1] = True  # a break before the first word marks the last, which ends a line anyway
     last[-1] = True
     may_end = np.flatnonzero(last | _STOPS[raw[ends - 1]])
-    cuts, at = [], 0  # index of the word after each sentence
+    cuts, at = [], 0
     for w, line_ends in zip(may_end.tolist(), last[may_end].tolist()):
-        size = w + 1 - at
-        if size and (line_ends or size >= MIN_WORDS):
-            if size > MAX_WORDS:
-                cuts += [at + c for c in cuts_by_words(text[starts[at] : ends[w]].lower().split())]
+        if line_ends or w + 1 - at >= MIN_WORDS:
             at = w + 1
             cuts.append(at)
     cut = np.array(cuts)
     first = np.concatenate([[0], cut[:-1]])
+    long = np.flatnonzero(cut - first > MAX_WORDS)
+    if len(long):
+        # a cut is the least pair of some WINDOW neighbouring pairs of a long sentence
+        pair = _mixed(one[:-1] * np.uint64(_BASES[0]) ^ one[1:])
+        inside = np.zeros(n + 1, np.int8)
+        inside[first[long]] += 1
+        inside[cut[long] - WINDOW] -= 1
+        window = np.flatnonzero(np.cumsum(inside))
+        least = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)[window].argmin(axis=1)
+        cut = np.unique(np.concatenate([cut, window + least + 1]))
+    return starts, ends, one, cut
+
+
+def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and words of each sentence."""
+    starts, ends, _, cut = _cut(text)
+    first = np.concatenate([np.zeros(1, np.int64), cut])[: len(cut)]
     return starts[first], ends[cut - 1], cut - first
 
 
 def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentence starts and ends; index of the first sentence, number of sentences, hash and check of each run."""
-    starts, ends, words = sentences(text)
-    total = np.cumsum(np.concatenate([[0], words]))
-    at = np.arange(len(starts))
+    starts, ends, one, cut = _cut(text)
+    total = np.concatenate([np.zeros(1, np.int64), cut])
+    starts, ends = starts[total[:-1]], ends[cut - 1]
+    at = np.arange(len(cut))
     size = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS) - at, RUN)
-    at = np.flatnonzero(at + size <= len(starts))
+    at = np.flatnonzero(at + size <= len(cut))
     size = size[at]
-    none = np.zeros(0, np.int64)
     if not len(at):
-        return starts, ends, none, none, none, none
-    low = text.lower()
-    digest = xxhash.xxh3_64_intdigest
-    one = np.array([digest(b" ".join(low[a:b].split())) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
-    with np.errstate(over="ignore"):
-        h, c = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for k in range(int(size.max())):
-            m = np.flatnonzero(size > k)
-            h[m] = (h[m] ^ one[at[m] + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h[m] ^= h[m] >> np.uint64(32)
-            c[m] = (c[m] + one[at[m] + k] + np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            c[m] ^= c[m] >> np.uint64(29)
+        return starts, ends, at, size, at, at
+    # a run's hash is the difference of two prefix sums over its words, moved to the same origin
+    up, down = _power(len(one))
+    a, b = total[at], total[at + size]
+    h, c = (
+        _mixed((before[b - 1] - np.where(a > 0, before[a - 1], np.uint64(0))) * down[k][a])
+        for k, before in enumerate(np.cumsum(one * up, axis=1))
+    )
     return starts, ends, at, size, h.view(np.int64), (c >> np.uint64(33)).astype(np.int32)
 
 
