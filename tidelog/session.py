@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+#: Paths of tables that ``save`` wrote and nobody has dropped, oldest first.
+_saved: list[str] = []
 
 
 def get_spark(cpus: int | None = None, partitions: int = 8) -> SparkSession:
@@ -28,10 +30,12 @@ def get_spark(cpus: int | None = None, partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` as the cluster names it; where it is unset, a folder of our own if the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tidelog-")
@@ -46,16 +50,38 @@ def save(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _saved.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidelog_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``save`` wrote; a table that is not ours is left alone."""
-    path = getattr(df, "_tidelog_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _saved:
+        _saved.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``save`` wrote; a table that is not ours is left alone."""
+    for df in tables:
+        path = getattr(df, "_tidelog_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def saved_tables() -> list[str]:
+    """Paths of the tables that ``save`` wrote and that still stand, oldest first."""
+    return list(_saved)
+
+
+def drop_since(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Delete what was saved since ``saved_tables`` gave ``before``, but for the tables ``keep``.
+
+    For callers that have written a result whose plan read intermediate tables.
+    """
+    stay = {*before, *(getattr(df, "_tidelog_path", None) for df in keep)}
+    for path in [p for p in _saved if p not in stay]:
+        _delete(spark, path)
