@@ -46,22 +46,32 @@ def test_classifier_is_right_on_unseen_rows_and_totals_meet_the_targets(tables):
     assert {r["n_tokens"] for r in out if r["doc_id"] in (5000, 5001, 5002)} == {0}
 
 
-def test_rates_are_the_steps_and_meet_reachable_targets(spark):
+def nearest_rates(n, p, goal):
+    """Brute force: the rates nearest to one with the given totals, by Dykstra's projections in the norm weighted by ``n``."""
+    r, above = np.ones(len(n)), np.zeros(len(n))
+    q = p * n[:, None]
+    inverse = np.linalg.inv(q.T @ p)
+    for _ in range(20_000):
+        y = r - p @ (inverse @ (q.T @ r - goal))
+        r = np.maximum(y + above, 0)
+        above = y + above - r
+    return r
+
+
+def test_rates_are_the_nearest_to_one_that_meet_the_targets(spark):
     draws = np.random.default_rng(2)
-    n, p = draws.integers(1, 300, 200), draws.dirichlet([0.4, 0.4, 0.4], 200)
-    rows = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "_n long, _p0 double, _p1 double, _p2 double")
+    n, p = draws.integers(1, 300, 200).astype(float), draws.dirichlet([0.4, 0.4, 0.4], 200)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "_n long, _p array<double>")
     goal = np.array([0.2, 0.2, 0.6])
-    steps = fit_rates(rows, goal.tolist())
-    r = np.ones(200)
-    for e in steps:
-        r = np.maximum(r - p @ np.array(e), 0)
-    got = [x[0] for x in rows.select(rate_after(steps)).collect()]
-    assert np.allclose(got, r, atol=1e-8) and len(steps) < 30
-    assert np.allclose((r * n) @ p, goal * n.sum(), rtol=0.005)
+    steps = fit_rates(rows, goal.tolist(), tolerance=1e-6)
+    got = np.array([x[0] for x in rows.select(rate_after(steps)).collect()])
+    assert np.allclose(got, np.maximum(1 - p @ np.array(steps), 0), atol=1e-8)
+    assert np.allclose((got * n) @ p, goal * n.sum(), rtol=1e-3)
+    assert np.allclose(got, nearest_rates(n, p, goal * n.sum()), atol=0.01)
 
 
 def test_out_of_reach_targets_end_at_the_least_residual(spark):
-    rows = spark.createDataFrame([(100, 0.5, 0.5), (50, 0.6, 0.4)], "_n long, _p0 double, _p1 double")
+    rows = spark.createDataFrame([(100, [0.5, 0.5]), (50, [0.6, 0.4])], "_n long, _p array<double>")
     steps = fit_rates(rows, [0.9, 0.1])
     a, b = (x[0] for x in rows.select(rate_after(steps)).collect())
     n, p, one = np.array([100, 50]), np.array([[0.5, 0.5], [0.6, 0.4]]), np.array([80.0, 70.0])
@@ -89,13 +99,26 @@ def test_draws_have_the_rate_as_their_mean(spark):
     assert got[0] == pytest.approx(1.3, abs=0.02) and (got[1], got[2]) == (1, 2)
 
 
-def test_stage_replaces_clashing_columns(spark, tables, tmp_path):
+def test_held_out_labels_teach_nothing(spark, tables):
     docs, labels, _ = tables
+    turned = labels.withColumns({c: F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    key = lambda df: sorted(map(tuple, mixing_rates(docs, df, TARGETS).collect()), key=str)
+    assert key(labels) == key(turned) != key(labels.where("doc_id > 300"))
+
+
+def test_stage_keeps_rows_it_has_no_ground_to_drop_and_replaces_clashing_columns(spark, tables, tmp_path):
+    docs, labels, plain = tables
+    docs = docs.select("*", F.lit("mine").alias("_n"), F.lit("mine").alias("_P"), F.lit("mine").alias("row"), F.lit("mine").alias("_buckets"))
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     out = apply_mixture(spark, docs, str(tmp_path))
-    assert out.columns == ["doc_id", "text", "rate", "copies"]
+    assert out.columns == ["doc_id", "text", "_n", "_P", "row", "_buckets", "rate", "copies"]
     got = out.collect()
-    assert all(r["copies"] >= 1 and abs(r["copies"] - r["rate"]) < 1 for r in got)
+    assert all(r["copies"] >= 1 and abs(r["copies"] - r["rate"]) < 1 and {r["_n"], r["_P"], r["row"], r["_buckets"]} == {"mine"} for r in got)
+    good = {d for d, _, k in plain if k == "good"}
+    assert len(good & {r["doc_id"] for r in got}) > 0.9 * len(good)
+    labels.where("false").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert apply_mixture(spark, docs, f"{tmp_path}/none").count() == docs.count()
+    assert apply_mixture(spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
 def test_main_path_has_no_python(spark, tables):

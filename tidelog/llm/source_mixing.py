@@ -7,27 +7,28 @@ domain, on the other half a softmax regression over summaries of those odds (mea
 the document's distinct words), its share of distinct words and its length is fitted by Newton
 steps, each one aggregation.
 
-Rates of documents are then fitted: nonnegative, from one each, so that the expected tokens of
-each domain, the sum over documents of rate, tokens and posterior, come to the domain's share of
-the token budget. The least squares problem takes errors relative to a domain's tokens at rate
-one and distances weighted by a document's tokens. In these units the gradient of a document is
-its posterior times a vector of the domains, so a projected step needs one aggregation of a few
-numbers per domain; steps are scaled by the curvature of the documents still in play. A rate is a
-function of the posterior and of the steps, so no state is joined.
+Rates of documents are then fitted: nonnegative and as near to one as can be (distances weighted
+by a document's tokens), so that the expected tokens of each domain, the sum over documents of
+rate, tokens and posterior, come to the domain's share of the token budget. In these units the
+gradient of a document's rate is its posterior times a vector of the domains, so all steps taken
+so far add up to one such vector; the rate is one less its product with the posterior, projected
+on what is not negative. A step needs one aggregation of a few numbers per domain and is scaled by
+the curvature of the documents whose rate is not zero. A rate is a function of the posterior and
+of that vector, so no state is joined, and a document leaves only if its own posterior says so.
 
 Null and empty texts have no tokens and a posterior like any other. Repeated rows each get the
 same rate. Ids without a label, with a null one, or held out, teach nothing; an id with several
 labels teaches the first domain of them in the order of the targets. Without any labels all
 posteriors are equal. A domain that no document belongs to cannot reach its target; the fit then
-ends where nothing improves. An empty table gives an empty table. Extra input columns are not
-carried by the query; the stage replaces ``rate`` and ``copies``.
+ends where nothing improves. An empty table gives an empty table. A text of any length is one row
+of a few numbers once its words are counted. Extra input columns are not carried by the query; the
+stage carries them whatever their names and replaces ``rate`` and ``copies``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from math import log
 
 import numpy as np
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import held_out, table
 from tidelog.session import drop, save
 
-BUCKETS = 8192
+BUCKETS = 16384
+#: Log odds of a word beyond which it speaks for a domain by itself.
+STRONG = 0.8
 #: Domains of the labelled table with the share of tokens that each is to have.
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 #: Between words: every ASCII character but letters, digits and the bar.
@@ -50,12 +53,12 @@ def label_domain() -> Column:
 
 
 def array_of(values: Sequence[float]) -> Column:
-    """A constant array; the optimizer folds it into one literal."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+    """A constant array; the optimizer folds it into one literal, so that the generated code is the same for all values."""
+    return F.split(F.lit(",".join(f"{v:.12g}" for v in values)), ",").cast("array<double>")
 
 
-def total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def with_words(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -65,20 +68,22 @@ def with_words(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def odds_summaries(value: Column) -> list[Column]:
-    """Mean and largest of ``value`` over a document's distinct buckets."""
-    mean = F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + value[b]) / F.greatest(F.size("_buckets"), F.lit(1))
-    return [mean, F.coalesce(F.array_max(F.transform("_buckets", lambda b: value[b])), F.lit(0.0))]
+    """Mean and largest of ``value`` over a document's distinct buckets, and how far in sum it goes beyond ``STRONG``."""
+    got = F.transform("_buckets", lambda b: value[b])
+    mean = F.aggregate(got, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size("_buckets"), F.lit(1))
+    strong = F.aggregate(got, F.lit(0.0), lambda s, v: s + F.greatest(v - STRONG, F.lit(0.0)))
+    return [mean, F.coalesce(F.array_max(got), F.lit(0.0)), F.log1p(strong)]
 
 
 def with_features(docs: DataFrame, keep: list[str], odds: list[list[float]]) -> DataFrame:
-    """``keep``, ``_n`` and the features ``_x0..`` of the whole text."""
-    x = [F.size("_buckets") / F.greatest(F.col("_n"), F.lit(1)), F.log1p("_n")]
+    """``keep``, ``_n`` and the features ``_x`` of the whole text."""
+    x = [F.size("_buckets") / F.greatest(F.col("_n"), F.lit(1)), F.log1p(F.col("_n").cast("double"))]
     for values in odds:
         x += odds_summaries(array_of(values))
-    return with_words(docs, keep).select(*keep, "_n", *(c.alias(f"_x{i}") for i, c in enumerate(x)))
+    return with_words(docs, keep).select(*keep, "_n", F.array(*x).alias("_x"))
 
 
-def bucket_odds(rows: DataFrame, domains: list[str], prior_rows: float = 20.0) -> list[list[float]]:
+def bucket_odds(rows: DataFrame, domains: list[str], prior_rows: float = 8.0) -> list[list[float]]:
     """Log odds of each bucket for each domain but the first, from rows of (_buckets, domain)."""
     is_domain = [F.count_if(F.col("domain") == k) for k in domains]
     base = rows.agg(*(c.alias(f"k{i}") for i, c in enumerate(is_domain))).first()
@@ -89,7 +94,7 @@ def bucket_odds(rows: DataFrame, domains: list[str], prior_rows: float = 20.0) -
     for r in counts:
         have = sum(r[1:])
         for i in range(1, len(domains)):
-            out[i - 1][r["b"]] = log((r[i + 1] + prior_rows * share[i]) / (have + prior_rows) / share[i])
+            out[i - 1][r["b"]] = round(log((r[i + 1] + prior_rows * share[i]) / (have + prior_rows) / share[i]), 3)
     return out
 
 
@@ -103,20 +108,35 @@ class Membership:
     scale: list[float]
     weights: list[list[float]]
 
-    def inputs(self) -> list[Column]:
+    def inputs(self) -> Column:
         """The standardised features and the constant one."""
-        return [*((F.col(f"_x{i}") - c) / s for i, (c, s) in enumerate(zip(self.centre, self.scale))), F.lit(1.0)]
+        apart = F.zip_with(F.col("_x"), array_of(self.centre), lambda x, c: x - c)
+        return F.concat(F.zip_with(apart, array_of(self.scale), lambda x, s: x / s), F.array(F.lit(1.0)))
+
+    def posterior(self, z: Column) -> Column:
+        """The posterior of each domain as an array, from standardised features."""
+        k = len(self.domains) - 1
+        flat = array_of([w for row in self.weights for w in row]) if k else F.array().cast("array<double>")
+        d = len(self.centre) + 1
+        rows = F.transform(F.sequence(F.lit(1), F.lit(k * d), F.lit(d)), lambda a: F.slice(flat, a, d)) if k else F.array().cast("array<array<double>>")
+        score = F.transform(rows, lambda w: F.exp(F.least(F.greatest(dot(w, z), F.lit(-30.0)), F.lit(30.0))))
+        every = F.concat(F.array(F.lit(1.0)), score)
+        sum_of = F.aggregate(every, F.lit(0.0), lambda s, v: s + v)
+        return F.transform(every, lambda v: v / sum_of)
 
     def posteriors(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep``, ``_n`` and the posteriors ``_p0..`` of each document."""
-        return self.of_features(with_features(docs, keep, self.odds), keep)
+        """``keep``, ``_n`` and the posteriors ``_p`` of each document."""
+        rows = with_features(docs, keep, self.odds).select(*keep, "_n", self.inputs().alias("_z"))
+        return rows.select(*keep, "_n", self.posterior(F.col("_z")).alias("_p"))
 
-    def of_features(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        x = self.inputs()
-        score = [F.exp(F.least(F.greatest(total([w * c for w, c in zip(row, x)]), F.lit(-30.0)), F.lit(30.0))) for row in self.weights]
-        scored = rows.select(*keep, "_n", F.lit(1.0).alias("_e0"), *(c.alias(f"_e{i + 1}") for i, c in enumerate(score)))
-        every = total([F.col(f"_e{i}") for i in range(len(self.domains))])
-        return scored.select(*keep, "_n", *((F.col(f"_e{i}") / every).alias(f"_p{i}") for i in range(len(self.domains))))
+
+def sums_of(rows: DataFrame, values: Column) -> np.ndarray:
+    """The element-wise sum of an array column, all of one length, added up before the shuffle."""
+    got = rows.select(F.posexplode(values).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(max((r["i"] for r in got), default=-1) + 1)
+    for r in got:
+        out[r["i"]] = r["v"] or 0.0
+    return out
 
 
 def fit_membership(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], max_labels: int = 20_000, ridge: float = 1.0, steps: int = 7) -> Membership:
@@ -132,13 +152,17 @@ def fit_membership(docs: DataFrame, labels: DataFrame, domain: Column, domains:
     rows = save(sample.select("domain", "first", "text"), "mixing-sample")
     odds = bucket_odds(with_words(rows.where("first"), ["domain"]), domains)
     second = save(with_features(rows.where(~F.col("first")), ["domain"], odds), "mixing-features")
-    x = [f"_x{i}" for i in range(2 + 2 * len(odds))]
-    s = second.agg(*(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
-    blank = Membership(domains, odds, [v or 0.0 for v in s[: len(x)]], [max(v or 0.0, 1e-3) for v in s[len(x) :]], [[0.0] * (len(x) + 1)] * len(odds))
-    model = blank
-    for _ in range(steps):
+    d = 2 + 3 * len(odds)
+    s = sums_of(second, F.concat(F.array(F.lit(1.0)), F.col("_x"), F.transform("_x", lambda x: x * x)))
+    if len(s):
+        centre = s[1 : d + 1] / s[0]
+        scale = np.sqrt(np.maximum(s[d + 1 :] / s[0] - centre**2, 1e-6))
+    else:
+        centre, scale = np.zeros(d), np.ones(d)
+    model = Membership(domains, odds, centre.tolist(), scale.tolist(), [[0.0] * (d + 1) for _ in odds])
+    for _ in range(steps if len(s) else 0):
         model = newton_step(model, second, ridge)
-    drop(rows), drop(second)
+    drop(chosen, rows, second)
     return model
 
 
@@ -147,84 +171,58 @@ def newton_step(model: Membership, rows: DataFrame, ridge: float) -> Membership:
     d, k = len(model.centre) + 1, len(model.domains) - 1
     if not k:
         return model
-    x, score = model.inputs(), [f"_p{i + 1}" for i in range(k)]
-    inputs = rows.select("domain", "_n", *(c.alias(f"_z{i}") for i, c in enumerate(x)), *(f"_x{i}" for i in range(d - 1)))
-    keep = ["domain", *(f"_z{i}" for i in range(d))]
-    p = model.of_features(inputs, keep)
-    z = [F.col(f"_z{i}") for i in range(d)]
-    miss = [(F.col(score[a]) - (F.col("domain") == model.domains[a + 1]).cast("double")) for a in range(k)]
-    slope = [F.sum(miss[a] * z[i]) for a in range(k) for i in range(d)]
-    cells = [(a, b, i, j) for a in range(k) for b in range(a, k) for i in range(d) for j in range(i, d)]
-    bend = [F.sum(F.col(score[a]) * ((1.0 if a == b else 0.0) - F.col(score[b])) * z[i] * z[j]) for a, b, i, j in cells]
-    got = [v or 0.0 for v in p.agg(*(c.alias(f"s{i}") for i, c in enumerate([*slope, *bend]))).first()]
+    p = rows.select("domain", model.inputs().alias("_z")).select("_z", F.slice(model.posterior(F.col("_z")), 2, k).alias("_p"), F.array(*((F.col("domain") == x).cast("double") for x in model.domains[1:])).alias("_y"))
+    times = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+    miss = F.zip_with("_p", "_y", lambda a, b: a - b)
+    # p_a ([a = b] - p_b) for each pair of domains
+    spread = F.flatten(F.transform("_p", lambda a, i: F.transform("_p", lambda b, j: F.when(i == j, a * (1 - b)).otherwise(-a * b))))
+    got = sums_of(p, F.concat(times(miss, F.col("_z")), times(spread, times(F.col("_z"), F.col("_z")))))
     flat = np.array(model.weights).ravel()
     penalty = np.tile(np.append(np.full(d - 1, ridge), 1e-3), k)
-    g = np.array(got[: k * d]) + penalty * flat
-    h = np.diag(penalty)
-    for (a, b, i, j), v in zip(cells, got[k * d :]):
-        for r, c in {(a * d + i, b * d + j), (a * d + j, b * d + i), (b * d + j, a * d + i), (b * d + i, a * d + j)}:
-            h[r, c] += v
+    g = got[: k * d] + penalty * flat
+    h = got[k * d :].reshape(k, k, d, d).transpose(0, 2, 1, 3).reshape(k * d, k * d) + np.diag(penalty)
     step = np.clip(np.linalg.solve(h, g), -4, 4)
     return Membership(model.domains, model.odds, model.centre, model.scale, (flat - step).reshape(k, d).tolist())
 
 
-def step_of(rate: Column, errors: list[float]) -> Column:
-    """One projected gradient step of a document's rate."""
-    return F.greatest(rate - total([F.col(f"_p{i}") * e for i, e in enumerate(errors)]), F.lit(0.0))
-
+def rate_after(steps: Sequence[float]) -> Column:
+    """The rate of ``_p`` after steps that add up to ``steps``."""
+    return F.greatest(F.lit(1.0) - dot(F.col("_p"), array_of(steps)), F.lit(0.0))
 
-def rate_after(steps: list[list[float]]) -> Column:
-    """The rate after all ``steps`` from one, as a function of ``_p0..``."""
-    if not steps:
-        return F.lit(1.0)
-    k = len(steps[0])
-    each = F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";")
-    errors = F.transform(each, lambda s: F.split(s, ",").cast("array<double>"))
-    return F.aggregate(errors, F.lit(1.0), lambda r, e: F.greatest(r - total([F.col(f"_p{i}") * e[i] for i in range(k)]), F.lit(0.0)))
 
+def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None, max_steps: int = 40, tolerance: float = 0.002, ridge: float = 1e-4) -> list[float]:
+    """The sum of the projected gradient steps, a number per domain, for rows of (_n, _p).
 
-def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None, max_steps: int = 40, tolerance: float = 0.005, save_every: int = 6, ridge: float = 1e-3) -> list[list[float]]:
-    """The projected gradient steps, a number per domain each, for rows of (_n, _p0..).
-
-    The gradient is scaled by the curvature of the documents whose rate is not zero, a matrix of
-    domains summed in the same pass as the totals; a step after one that did not descend is
-    halved. It ends when every domain is within ``tolerance`` of its target or five steps have
-    brought nothing; of all iterates the best counts.
+    It ends when every domain is within ``tolerance`` of its target, or when halved steps bring
+    nothing; of all iterates the best counts.
     """
     k = len(targets)
-    p = [f"_p{i}" for i in range(k)]
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def sums(df: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        live = F.when(rate > 0, F.col("_n")).otherwise(F.lit(0))
-        got = [v or 0.0 for v in df.agg(*(F.sum(rate * F.col("_n") * F.col(c)).alias(f"t{c}") for c in p), *(F.sum(live * F.col(p[i]) * F.col(p[j])).alias(f"c{i}_{j}") for i, j in cells)).first()]
-        bend = np.zeros((k, k))
-        for (i, j), v in zip(cells, got[k:]):
-            bend[i, j] = bend[j, i] = v
-        return np.array(got[:k]), bend
-
-    now, bend = sums(rows, F.lit(1.0))
+
+    def sums(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rated = rows.select("_n", "_p", rate_after(at.tolist()).alias("_rate"))
+        live = F.when(F.col("_rate") > 0, F.col("_n")).otherwise(F.lit(0)).cast("double")
+        values = F.concat(F.transform("_p", lambda p: p * F.col("_rate") * F.col("_n")), F.flatten(F.transform("_p", lambda p: F.transform("_p", lambda q: p * q * live))))
+        got = sums_of(rated, values)
+        got = got if len(got) else np.zeros(k + k * k)
+        return got[:k], got[k:].reshape(k, k)
+
+    at = np.zeros(k)
+    now, bend = sums(at)
     unit = np.where(now > 0, 1 / np.sqrt(np.maximum(now, 1e-12)), 0.0)  # errors are relative to the totals at rate one
     goal = (now.sum() if budget is None else budget) * np.array(targets) / sum(targets)
-    loss = lambda at: float(np.square((at - goal) * unit).sum())
-    steps: list[list[float]] = []
-    state, rate, losses = rows, F.lit(1.0), [loss(now)]
-    while len(steps) < max_steps and losses[-1] > 0 and (np.abs(now - goal) > tolerance * goal).any():
-        if len(losses) > 5 and min(losses[-5:]) >= min(losses[:-5]) * (1 - 1e-4):
+    loss = lambda x: float(np.square((x - goal) * unit).sum())
+    best, least, size = at, loss(now), 1.0
+    for _ in range(max_steps):
+        if not least > 0 or (np.abs(now - goal) <= tolerance * goal).all() or size < 0.05:
             break
-        solved = np.linalg.solve(bend * np.outer(unit, unit) + ridge * np.eye(k), (now - goal) * unit) * unit
-        steps.append((solved * (0.5 if losses[-1] > min(losses) else 1.0)).tolist())
-        rate = step_of(rate, steps[-1])
-        now, bend = sums(state, rate)
-        losses.append(loss(now))
-        if len(steps) % save_every == 0:  # else the expression grows with the steps
-            done = save(state.select("_n", *p, rate.alias("_rate")), "rates")
-            if state is not rows:
-                drop(state)
-            state, rate = done, F.col("_rate")
-    if state is not rows:
-        drop(state)
-    return steps[: losses.index(min(losses))]
+        step = np.linalg.solve(bend * np.outer(unit, unit) + ridge * np.eye(k), (now - goal) * unit) * unit
+        tried = at + size * step
+        then, curve = sums(tried)
+        if loss(then) < least * (1 - 1e-6):
+            at, now, bend, best, least, size = tried, then, curve, tried, loss(then), min(1.0, 2 * size)
+        else:
+            size /= 2
+    return best.tolist()
 
 
 def draw(rate: Column, *by: Column) -> Column:
@@ -239,7 +237,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     model = fit_membership(docs, labels, label_domain() if domain is None else domain, names)
     rows = save(model.posteriors(docs, ["doc_id"]), "memberships")
     steps = fit_rates(rows, list(targets.values()), budget)
-    return rows.select("doc_id", F.col("_n").alias("n_tokens"), *(F.col(f"_p{i}").alias(f"p_{k}") for i, k in enumerate(names)), rate_after(steps).alias("rate"))
+    return rows.select("doc_id", F.col("_n").alias("n_tokens"), *(F.col("_p")[i].alias(f"p_{k}") for i, k in enumerate(names)), rate_after(steps).alias("rate"))
 
 
 def op6_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,13 +249,17 @@ def apply_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A row's rate follows from its own text and the fitted steps, so no texts are shuffled. The
     rated rows are written before rows leave: a filter on the copies would otherwise be pushed to
-    the scan with the whole computation of rates written out in it.
+    the scan with the whole computation of rates written out in it. Without labels, and for
+    targets that hold already, every rate is one.
     """
     names = list(TARGETS)
     model = fit_membership(docs, table(spark, sf_dir, "labels"), label_domain(), names)
     rows = save(model.posteriors(docs, []), "memberships")
     steps = fit_rates(rows, list(TARGETS.values()))
     drop(rows)
-    keep = [c for c in docs.columns if c not in ("rate", "copies")]
-    rated = model.posteriors(docs, keep).select(*keep, rate_after(steps).alias("rate"))
-    return save(rated.withColumn("copies", draw(F.col("rate"), F.col("doc_id"), F.col("text"))), "rated").where("copies > 0")
+    keep = [c for c in docs.columns if c.lower() not in ("rate", "copies")]
+    # the row's own columns travel in a struct, where no name clashes
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "text")
+    rated = model.posteriors(packed, ["row"]).select("row", rate_after(steps).alias("rate"))
+    drawn = rated.select("row.*", "rate", draw(F.col("rate"), F.col("row.doc_id"), F.col("row.text")).alias("copies"))
+    return save(drawn, "rated").where("copies > 0")
