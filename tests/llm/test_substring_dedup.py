@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidelog.llm.substring_dedup import RUN, drop_repeats, remove_repeats, sentences
 
 WORDS = [f"w{i}" for i in range(500)]
@@ -50,15 +52,15 @@ def corpus(seed=5):
 def test_matches_the_definition(spark):
     rows = corpus() + [(70, None), (71, ""), (72, "  \n "), (None, corpus()[3][1]), (3, corpus()[4][1]), (73, "X y z. " * 20000)]
     docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, c string")
-    got = sorted(((r["doc_id"], parts(r["text"])) for r in remove_repeats(docs).collect()), key=repr)
+    got = sorted(((r["doc_id"], parts(r["text"])) for r in remove_repeats(docs)[0].collect()), key=repr)
     assert got == sorted(brute(rows), key=repr)
 
 
 def test_spans_are_what_was_removed(spark):
     rows = corpus()
-    for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect():
         text, out, at = dict(rows)[r["doc_id"]], "", 0
-        for s in r["_removed"]:
+        for s in r["removed"]:
             out, at = out + text[at : s["start"]], s["end"]
         assert out + text[at:] == r["text"]
 
@@ -70,7 +72,18 @@ def test_stage_keeps_first_holders_and_clean_rows(spark):
     want = dict(brute(rows))
     assert {d for d, p in want.items() if p or not parts(dict(rows)[d])} | {99} == set(out)
     assert all(r["n_chars"] == len(r["text"]) for d, r in out.items() if d != 99)
-    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+
+
+def test_stage_carries_clashing_names_and_drops_texts_of_white_space_only(spark):
+    body = " ".join(WORDS[:40]) + "."
+    rows = [(1, body, 5, "k"), (2, "\n\t" + body, 5, "k"), (3, " \n", 5, "k"), (None, body, 5, "k"), (None, body + "\n" + body, 5, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, cuts string").withColumns({c: F.lit("mine") for c in ("t", "Mine", "its", "n_sentences", "n_removed_spans", "removed", "h")})
+    out = drop_repeats(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(((r["doc_id"], len(r["text"].split())) for r in got), key=str) == [(1, 40), (3, 0), (None, 40), (None, 40)]
+    assert all(r["Mine"] == r["its"] == "mine" and r["cuts"] == "k" for r in got)
 
 
 def windows(text, n=50):
@@ -91,7 +104,7 @@ def test_repeated_windows_of_50_words_are_found_whatever_the_shape(spark):
             rows.append((i + 1, " ".join(words(pick.randrange(1, 40))) + " " + flow + " " + " ".join(words(pick.randrange(1, 40))) + "."))
     rows.append((500, "Enststung ench.\n" * 60))
     assert {d for d, t in rows if any(windows(t) & windows(u) for e, u in rows if e < d)} == {d for d, _ in rows if d % 4 > 1}
-    out = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
     seen = set()
     for d, _ in sorted(rows):
         assert not windows(out[d]) & seen, d

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import bounded_labels, held_out, isotonic, table, text_pieces
-from tidelog.session import save
+from tidelog.session import drop, save
 
 FEATURES = 256
 _CLASSES = {
@@ -146,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tupl
     known = save(known, "labels")
     # an id and a label for each of about max_rows rows: broadcast, so that no statistics move
     rows = save(stats.join(F.broadcast(known), "doc_id"), "training")
-    return stats, fit(rows, rows.count() if n else 0)
+    model = fit(rows, rows.count() if n else 0)
+    drop(known, rows)
+    return stats, model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 40_000) -> DataFrame:
@@ -171,7 +173,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row is judged where it lies, by its own text, so texts are not shuffled; the statistics
     are cheap enough to be computed once for the fit and once here.
     """
-    _, model = train(docs, table(spark, sf_dir, "labels"), "quality", 40_000)
+    stats, model = train(docs, table(spark, sf_dir, "labels"), "quality", 40_000)
+    drop(stats)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_pieces(batches):

@@ -19,10 +19,10 @@ of that vector, so no state is joined, and a document leaves only if its own pos
 Null and empty texts have no tokens and a posterior like any other. Repeated rows each get the
 same rate. Ids without a label, with a null one, or held out, teach nothing; an id with several
 labels teaches the first domain of them in the order of the targets. Without any labels all
-posteriors are equal. A domain that no document belongs to cannot reach its target; the fit then
-ends where nothing improves. An empty table gives an empty table. A text of any length is one row
-of a few numbers once its words are counted. Extra input columns are not carried by the query; the
-stage carries them whatever their names and replaces ``rate`` and ``copies``.
+posteriors are equal. A domain that no document belongs to cannot reach its target; rates then
+stay near one. An empty table gives an empty table. A text of any length is one row of a few
+numbers once its words are counted. Extra input columns are not carried by the query; the stage
+carries them whatever their names and replaces ``rate`` and ``copies``.
 """
 
 from __future__ import annotations
@@ -67,20 +67,21 @@ def with_words(docs: DataFrame, keep: list[str]) -> DataFrame:
     return words.select(*keep, F.size("_words").cast("long").alias("_n"), F.array_distinct(F.transform("_words", lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))).alias("_buckets"))
 
 
-def odds_summaries(value: Column) -> list[Column]:
-    """Mean and largest of ``value`` over a document's distinct buckets, and how far in sum it goes beyond ``STRONG``."""
-    got = F.transform("_buckets", lambda b: value[b])
-    mean = F.aggregate(got, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size("_buckets"), F.lit(1))
+def odds_summaries(got: Column) -> list[Column]:
+    """Mean and largest of the odds ``got`` of a document's distinct buckets, and how far in sum they go beyond ``STRONG``."""
+    mean = F.aggregate(got, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size(got), F.lit(1))
     strong = F.aggregate(got, F.lit(0.0), lambda s, v: s + F.greatest(v - STRONG, F.lit(0.0)))
     return [mean, F.coalesce(F.array_max(got), F.lit(0.0)), F.log1p(strong)]
 
 
 def with_features(docs: DataFrame, keep: list[str], odds: list[list[float]]) -> DataFrame:
     """``keep``, ``_n`` and the features ``_x`` of the whole text."""
+    values = [array_of(v) for v in odds]
+    rows = with_words(docs, keep).select(*keep, "_n", "_buckets", *(F.transform("_buckets", lambda b, v=v: v[b]).alias(f"_o{i}") for i, v in enumerate(values)))
     x = [F.size("_buckets") / F.greatest(F.col("_n"), F.lit(1)), F.log1p(F.col("_n").cast("double"))]
-    for values in odds:
-        x += odds_summaries(array_of(values))
-    return with_words(docs, keep).select(*keep, "_n", F.array(*x).alias("_x"))
+    for i in range(len(odds)):
+        x += odds_summaries(F.col(f"_o{i}"))
+    return rows.select(*keep, "_n", F.array(*x).alias("_x"))
 
 
 def bucket_odds(rows: DataFrame, domains: list[str], prior_rows: float = 8.0) -> list[list[float]]:
@@ -190,11 +191,14 @@ def rate_after(steps: Sequence[float]) -> Column:
     return F.greatest(F.lit(1.0) - dot(F.col("_p"), array_of(steps)), F.lit(0.0))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None, max_steps: int = 40, tolerance: float = 0.002, ridge: float = 1e-4) -> list[float]:
+def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None, max_steps: int = 8, tolerance: float = 0.002) -> list[float]:
     """The sum of the projected gradient steps, a number per domain, for rows of (_n, _p).
 
-    It ends when every domain is within ``tolerance`` of its target, or when halved steps bring
-    nothing; of all iterates the best counts.
+    The fit minimises the squared errors of the domains' shares of the budget plus ``ridge`` times
+    the weighted squared distances of rates from one, for ridges ten times smaller from one to the
+    next. It ends when every domain is within ``tolerance`` of its target, or when a smaller ridge
+    does not halve the error: the targets are then out of reach, and rates are not torn further
+    apart for them.
     """
     k = len(targets)
 
@@ -208,20 +212,27 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None
 
     at = np.zeros(k)
     now, bend = sums(at)
-    unit = np.where(now > 0, 1 / np.sqrt(np.maximum(now, 1e-12)), 0.0)  # errors are relative to the totals at rate one
-    goal = (now.sum() if budget is None else budget) * np.array(targets) / sum(targets)
-    loss = lambda x: float(np.square((x - goal) * unit).sum())
-    best, least, size = at, loss(now), 1.0
-    for _ in range(max_steps):
-        if not least > 0 or (np.abs(now - goal) <= tolerance * goal).all() or size < 0.05:
+    whole = (float(now.sum()) if budget is None else budget) or 1.0
+    goal = np.array(targets) / sum(targets)
+    best, error = at, now / whole - goal
+    for ridge in (1e-2, 1e-3, 1e-4):
+        if not now.sum() or (np.abs(error) <= tolerance * goal).all():
             break
-        step = np.linalg.solve(bend * np.outer(unit, unit) + ridge * np.eye(k), (now - goal) * unit) * unit
-        tried = at + size * step
-        then, curve = sums(tried)
-        if loss(then) < least * (1 - 1e-6):
-            at, now, bend, best, least, size = tried, then, curve, tried, loss(then), min(1.0, 2 * size)
-        else:
-            size /= 2
+        miss = lambda t, x: t / whole - goal - ridge * x
+        for _ in range(max_steps):
+            left, size = miss(now, at), 1.0
+            if np.abs(left).max() < 0.1 * tolerance * goal.min():
+                break
+            step = np.linalg.solve(bend / whole + ridge * np.eye(k), left)
+            while True:
+                then, curve = sums(at + size * step)
+                if size < 0.1 or np.linalg.norm(miss(then, at + size * step)) < np.linalg.norm(left):
+                    break
+                size /= 2
+            at, now, bend = at + size * step, then, curve
+        if np.linalg.norm(now / whole - goal) > 0.5 * np.linalg.norm(error) and ridge < 1e-2:
+            break
+        best, error = at, now / whole - goal
     return best.tolist()
 
 
