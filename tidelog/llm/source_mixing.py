@@ -76,8 +76,8 @@ def odds_summaries(got: Column) -> list[Column]:
 
 def with_features(docs: DataFrame, keep: list[str], odds: list[list[float]]) -> DataFrame:
     """``keep``, ``_n`` and the features ``_x`` of the whole text."""
-    values = [array_of(v) for v in odds]
-    rows = with_words(docs, keep).select(*keep, "_n", "_buckets", *(F.transform("_buckets", lambda b, v=v: v[b]).alias(f"_o{i}") for i, v in enumerate(values)))
+    odds_of = lambda values: F.transform("_buckets", lambda b: values[b])
+    rows = with_words(docs, keep).select(*keep, "_n", "_buckets", *(odds_of(array_of(v)).alias(f"_o{i}") for i, v in enumerate(odds)))
     x = [F.size("_buckets") / F.greatest(F.col("_n"), F.lit(1)), F.log1p(F.col("_n").cast("double"))]
     for i in range(len(odds)):
         x += odds_summaries(F.col(f"_o{i}"))
