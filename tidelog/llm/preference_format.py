@@ -5,12 +5,16 @@ ends before the first turn number that only one side has or where role or text d
 prefix is rendered once as the prompt, what is left of each side as its completion, with the
 character spans that a loss may be taken over: the texts and end marks of assistant turns.
 
-Turns are compared by hash of role and text (their texts are only gathered to be rendered), so
-no pairs of conversations but those asked for are made. A null text is empty, a null role
-``unknown``. Rows without a conversation id or turn number are left out. Of several rows for one
-turn the least (role, text) counts. A pair with a conversation that has no turns renders that
-side as empty; identical conversations have two empty completions. A rendered conversation must
-fit a row. Extra input columns are not carried.
+Turns are dealt once by pair, texts included; what follows (one row per turn, the two sides of a
+turn beside each other, the pair) is sorted and grouped where it lies. No pairs of conversations
+but those asked for are made. The table of the query holds no preferences; its pairs are the
+conversations 2k and 2k + 1, and most of them differ from the first turn.
+
+A null text is empty, a null role ``unknown``. Rows without a conversation id or turn number are
+left out. Of several rows for one turn the least (role, text) counts. A conversation without a
+partner is chosen, and its other side is null and renders as empty; so does one without turns.
+Identical conversations have two empty completions. A rendered conversation, of any length, must
+fit a row. An empty table gives an empty table. Extra input columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,13 +27,6 @@ from tidelog.llm.common import table
 END = "<|end|>\n"
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) with one row per turn."""
-    rows = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    one = F.min(F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    return rows.groupBy("conv_id", "turn").agg(one.alias("t")).select("conv_id", "turn", "t.role", "t.text")
-
-
 def head(role: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
@@ -55,46 +52,65 @@ def loss_spans(parts: Column) -> Column:
     return F.array_join(walk["spans"], ",")
 
 
-def preference_pairs(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id): conversations 2k and 2k + 1 compared.
+def paired(turns: DataFrame, by_length: bool) -> DataFrame:
+    """A row per pair from rows (pair_id, side 0 or 1, conv_id, turn, role, text).
 
-    The one with more characters of assistant text is chosen, of equal ones the smaller id.
+    Side 0 is chosen, or ``by_length`` the one with more characters of assistant text, of equal
+    ones side 0.
     """
-    mine = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)
-    sizes = turns(conversations).groupBy("conv_id").agg(F.sum(mine).alias("size"))
-    one = F.struct((-F.col("size")).alias("order"), F.col("conv_id"))
-    both = sizes.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count(F.lit(1)).alias("n"))
-    return both.where("n = 2").select("pair_id", F.col("first.conv_id").alias("chosen_id"), F.col("last.conv_id").alias("rejected_id"))
+    said = F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = turns.select("pair_id", "side", "conv_id", "turn", said.alias("said")).repartition("pair_id")
+    # grouped by ever fewer of the columns that the rows are sorted by: no further exchange
+    one = dealt.groupBy("pair_id", "turn", "side").agg(F.min("said").alias("said"), F.max("conv_id").alias("conv_id"))
+    of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    both = one.groupBy("pair_id", "turn").agg(of(0, "said").alias("a"), of(1, "said").alias("b"), of(0, "conv_id").alias("a_id"), of(1, "conv_id").alias("b_id"))
+    size = lambda c: F.sum(F.when(F.col(f"{c}.role") == "assistant", F.length(f"{c}.text")).otherwise(0))
+    rows = both.groupBy("pair_id").agg(
+        F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("turn"))).alias("first"), F.array_sort(F.collect_list(F.struct("turn", "a", "b"))).alias("parts"),
+        F.max("a_id").alias("a_id"), F.max("b_id").alias("b_id"), size("a").alias("a_size"), size("b").alias("b_size"),
+    )
+    return rows.withColumn("swap", F.col("a_id").isNull() | (F.col("b_id").isNotNull() & (F.col("b_size") > F.col("a_size"))) if by_length else F.lit(False))
 
 
-def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row per pair: prompt_turns, prompt, and text and loss spans of both completions."""
-    all_turns = turns(conversations)
-    marks = all_turns.select("conv_id", "turn", F.xxhash64("role", "text").alias("mark"))
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit(2).alias("side"), F.col("rejected_id").alias("conv_id")))).alias("s")).select("pair_id", "s.*")
-    differs = (
-        sides.join(marks, "conv_id").groupBy("pair_id", "turn")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
-        .where((F.col("n") < 2) | (F.col("low") != F.col("high")))
-        .groupBy("pair_id").agg(F.min("turn").alias("first"))
-    )
-    whole = all_turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("parts"))
-    empty = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    chosen, rejected = (whole.select(F.col("conv_id").alias(f"{s}_id"), F.col("parts").alias(f"{s}_parts")) for s in ("chosen", "rejected"))
-    rows = pairs.join(differs, "pair_id", "left").join(chosen, "chosen_id", "left").join(rejected, "rejected_id", "left")
+def rendered_pairs(rows: DataFrame) -> DataFrame:
+    """pair_id, ids, prompt_turns, prompt, and text and loss spans of both completions, from rows of ``paired``."""
     before = lambda t: F.col("first").isNull() | (t["turn"] < F.col("first"))
-    a, b = F.coalesce("chosen_parts", empty), F.coalesce("rejected_parts", empty)
-    prompt, rest_a, rest_b = F.filter(a, before), F.filter(a, lambda t: ~before(t)), F.filter(b, lambda t: ~before(t))
+    prompt = F.transform(F.filter("parts", before), lambda t: F.coalesce(t["a"], t["b"]))
+    rest = F.filter("parts", lambda t: ~before(t))
+    side = lambda first: F.filter(F.transform(rest, lambda t: F.when(F.col("swap") == F.lit(first), t["b"]).otherwise(t["a"])), lambda t: t.isNotNull())
+    chosen, rejected = side(True), side(False)
+    swapped = lambda x, y: F.when(F.col("swap"), F.col(y)).otherwise(F.col(x))
     return rows.select(
-        "pair_id", "chosen_id", "rejected_id", F.size(prompt).alias("prompt_turns"), rendered(prompt).alias("prompt"),
-        rendered(rest_a).alias("chosen"), loss_spans(rest_a).alias("chosen_loss"),
-        rendered(rest_b).alias("rejected"), loss_spans(rest_b).alias("rejected_loss"),
+        "pair_id", swapped("a_id", "b_id").alias("chosen_id"), swapped("b_id", "a_id").alias("rejected_id"), F.size(prompt).alias("prompt_turns"), rendered(prompt).alias("prompt"),
+        rendered(chosen).alias("chosen"), loss_spans(chosen).alias("chosen_loss"),
+        rendered(rejected).alias("rejected"), loss_spans(rejected).alias("rejected_loss"),
     )
 
 
+def turns_of(conversations: DataFrame) -> DataFrame:
+    rows = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    return rows.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
+
+
+def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row per pair of ``pairs`` (pair_id, chosen_id, rejected_id); a conversation may be in several."""
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("conv_id"))
+    sides = pairs.select("pair_id", F.explode(F.array(side(0, "chosen_id"), side(1, "rejected_id"))).alias("s")).select("pair_id", "s.*")
+    out = rendered_pairs(paired(sides.join(turns_of(conversations), "conv_id"), False)).drop("chosen_id", "rejected_id")
+    texts = ["prompt", "chosen", "chosen_loss", "rejected", "rejected_loss"]
+    return pairs.select("pair_id", "chosen_id", "rejected_id").join(out, "pair_id", "left").select(
+        "pair_id", "chosen_id", "rejected_id", F.coalesce("prompt_turns", F.lit(0)).alias("prompt_turns"), *(F.coalesce(c, F.lit("")).alias(c) for c in texts)
+    )
+
+
+def neighbour_preferences(conversations: DataFrame) -> DataFrame:
+    """Conversations 2k and 2k + 1 as pair k, for integer ids of any size and sign; the one with more assistant text is chosen."""
+    c = turns_of(conversations)
+    return rendered_pairs(paired(c.select(F.shiftright("conv_id", 1).alias("pair_id"), F.col("conv_id").bitwiseAND(F.lit(1)).alias("side"), "*"), True))
+
+
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    return format_preferences(conversations, preference_pairs(conversations))
+    return neighbour_preferences(table(spark, sf_dir, "conversations"))
 
 
 ORACLE = r"""
@@ -104,9 +120,9 @@ WITH turns AS (
     FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)),
 sizes AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS size FROM turns GROUP BY conv_id),
 pairs AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
-         first(conv_id ORDER BY size DESC, conv_id) AS chosen_id, last(conv_id ORDER BY size DESC, conv_id) AS rejected_id
-  FROM sizes GROUP BY 1 HAVING count(*) = 2),
+  SELECT (conv_id - (conv_id & 1)) // 2 AS pair_id, first(conv_id ORDER BY size DESC, conv_id) AS chosen_id,
+         CASE WHEN count(*) = 2 THEN last(conv_id ORDER BY size DESC, conv_id) END AS rejected_id
+  FROM sizes GROUP BY 1),
 cut AS (
   SELECT p.pair_id, min(coalesce(c.turn, r.turn)) AS first
   FROM (SELECT pair_id, t.* FROM pairs JOIN turns t ON t.conv_id = chosen_id) c
