@@ -1,22 +1,28 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 Documents carry labels, tokens do not, so token labels come first. Over a bounded sample of
-labelled documents that are not held out, the words and word beginnings that are found nearly only in
-toxic documents (a lower confidence bound of their toxic share is over one half) are candidates;
-those are kept that toxic documents have between different neighbours, so words that merely come
-with copies of one document are not. A beginning counts where no whole word is a candidate. A
-token is labelled toxic if its document is and a kept feature matches it.
-
-A two-state chain with those features, a bias and transitions is then trained on the labelled
-tokens by gradients of the regularised likelihood summed by partition. Every document is
-tagged by forward-backward over its whole text; adjoining tokens with a marginal of one half
-or more form a span, and a document's score is one minus the product over spans of one minus
-the span's largest marginal (without a span the largest marginal), calibrated by isotonic
-regression on the sample.
-
-Null and empty texts have no tokens and the lowest calibrated score. Repeated rows are each
-scored. Null ids are scored and never learned from. Without toxic labels every raw score is 0.
-Extra input columns are not carried.
+labelled documents that are not held out, the words and word beginnings that toxic documents have
+far more often than others (a lower confidence bound of their toxic share is over ``LIFT`` times
+the share of toxic documents, or over one half) are candidates; those are kept that toxic
+documents have between different neighbours, so words that merely come with copies of one document
+are not. A beginning counts where no whole word is a candidate. A token is labelled toxic if its
+document is and a kept word or beginning matches it.
+
+A two-state chain is then trained on the labelled tokens, by gradients of the regularised
+likelihood summed by partition. Its features do not depend on the labelling: of every token the
+word, beginnings, endings, letter triples and shape, and the beginnings of both neighbours, as far
+as ``LEAST`` labelled tokens have them. So a word that was never labelled is tagged by what it
+shares with those that were, and a labelled one is not if its like are found elsewhere.
+
+Every document is tagged by forward-backward over its whole text; adjoining tokens with a marginal
+of one half or more form a span. A document's evidence, the sum of -log(1 - marginal) over its
+tokens, is compared with what toxic and what other documents of its length come to (the log ratio
+of two Poisson likelihoods), and calibrated by isotonic regression on the sample.
+
+Null and empty texts have no tokens and no evidence. Texts of any length are tagged in whole;
+their marginals are worked out in segments that are put together. Repeated rows are each scored.
+Null ids are scored and never learned from. Without toxic labels every score is 0. An empty table
+gives an empty table. Extra input columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,108 +38,132 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import bounded_labels, held_out, isotonic, table, text_pieces
-from tidelog.session import save
+from tidelog.session import drop, save
 
-#: Lengths of beginnings; a beginning is a feature of longer words only, as a stem alone may be harmless.
+#: Lengths of beginnings; a beginning stands for longer words only, as a stem alone may be harmless.
 PREFIXES = (3, 4, 5, 6, 7)
-#: Tokens of one training sequence; longer texts are several sequences. Tagging knows no such limit.
-SEQUENCE = 256
+#: How far the toxic share of a labelling word is over that of all documents; labelled tokens that have a feature of the chain.
+LIFT, LEAST = 3.0, 3
+#: Tokens of a segment of forward-backward.
+SEGMENT = 64
 BINS = 200
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def token_features(token: str) -> list[str]:
-    """The lower-case word without punctuation around it, then its beginnings."""
-    word = _EDGES.sub("", token).lower()
-    if not word:
-        return []
-    return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) > n)]
+def plain(token: str) -> str:
+    """The lower-case word without punctuation around it."""
+    return _EDGES.sub("", token).lower()
 
 
-class Emissions(dict):
-    """Token to its score for the toxic state less that for the clean one; computed once per token."""
+def labelling_features(token: str) -> list[str]:
+    """The word, then its beginnings."""
+    word = plain(token)
+    return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) > n)] if word else []
 
-    def __init__(self, weights: dict[str, float], bias: float, most: int = 200_000):
-        super().__init__()
-        self.weights, self.bias, self.most = weights, bias, most
 
-    def __missing__(self, token: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        value = self.bias + sum(self.weights.get(f, 0.0) for f in token_features(token))
-        self[token] = value
-        return value
+def chain_features(token: str) -> list[str]:
+    """What the chain sees of a token itself."""
+    word = plain(token)
+    shape = ("A" if token[:1].isupper() else "a") + ("0" if any(map(str.isdigit, token)) else "") + str(min(len(word), 12))
+    grams = {f"g:{word[i : i + 3]}" for i in range(len(word) - 2)}
+    return [*labelling_features(token), f"s:{word[-3:]}", f"s:{word[-4:]}", f"x:{shape}", *sorted(grams)]
+
+
+def context(token: str) -> str:
+    """What the chain sees of a token beside another one."""
+    return plain(token)[:3]
 
 
 def forward_backward(unary: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of state 1, summed expected transitions and the log partition function.
 
-    ``unary`` holds all sequences in a row; all advance together, the longest first, so that a
-    step works on the sequences that are not over. Messages are kept as odds of state 1.
+    ``unary`` holds all sequences in a row. Messages are odds of state 1, and a step maps the odds
+    before it by a ratio of two linear functions, a matrix of two by two. All segments of
+    ``SEGMENT`` tokens advance together: first their matrices are multiplied, which gives the odds
+    at their ends (segments of segments, in turn), then the odds within. A sequence begins with a
+    matrix that forgets what was before.
     """
-    order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])[order]
-    length = sizes[order]
+    n = len(unary)
+    pairs = np.zeros((2, 2))
+    if not n:
+        return np.zeros(0), pairs, 0.0
     e = np.exp(transition)
     odds = np.exp(np.clip(unary, -40, 40))
-    fwd, bwd = np.empty_like(odds), np.empty_like(odds)
-    log_z = 0.0
-    if not len(order):
-        return odds, np.zeros((2, 2)), 0.0
-    active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-    r = odds[start]
-    fwd[start] = r
-    for t in range(1, len(active)):
-        n = active[t]
-        at = start[:n] + t
-        r = r[:n]
-        clean = e[0, 0] + r * e[1, 0]
-        log_z += np.log(clean).sum()
-        r = odds[at] * (e[0, 1] + r * e[1, 1]) / clean
-        fwd[at] = r
-    pairs = np.zeros((2, 2))
-    b = np.ones(active[-1])
-    bwd[start[: active[-1]] + len(active) - 1] = 1.0
-    for t in range(len(active) - 2, -1, -1):
-        n, m = active[t], active[t + 1]
-        at = start[:m] + t
-        x = odds[at + 1] * b
-        f = fwd[at]
-        cells = np.stack([np.full(m, e[0, 0]), e[0, 1] * x, e[1, 0] * f, e[1, 1] * f * x])
-        pairs += (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        b = np.concatenate([(e[1, 0] + e[1, 1] * x) / (e[0, 0] + e[0, 1] * x), np.ones(n - m)])
-        bwd[start[:n] + t] = b
-    log_z += np.log1p(fwd[start + length - 1]).sum()
+    begins = np.zeros(n + 1, bool)
+    ends = np.cumsum(sizes)
+    begins[(ends - sizes)[sizes > 0]] = True
+    begins[n] = True
+    first, last = begins[:-1], begins[1:]
+    # forward odds r' = odds (e01 + e11 r) / (e00 + e10 r); backward b' = (e10 + e11 x b) / (e00 + e01 x b), x the next odds
+    a = np.stack([np.where(first, 0.0, odds * e[1, 1]), np.where(first, odds, odds * e[0, 1]), np.where(first, 0.0, e[1, 0]), np.where(first, 1.0, e[0, 0])])
+    fwd = _chained(a)
+    x = np.append(odds[1:], 1.0)
+    a = np.stack([np.where(last, 0.0, e[1, 1] * x), np.where(last, 1.0, e[1, 0]), np.where(last, 0.0, e[0, 1] * x), np.where(last, 1.0, e[0, 0])])
+    bwd = _chained(a[:, ::-1])[::-1]
+    inner = np.flatnonzero(~last)
+    f, y = fwd[inner], odds[inner + 1] * bwd[inner + 1]
+    cells = np.stack([np.full(len(inner), e[0, 0]), e[0, 1] * y, e[1, 0] * f, e[1, 1] * f * y])
+    pairs += (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    log_z = float(np.log(e[0, 0] + f * e[1, 0]).sum() + np.log1p(fwd[last]).sum())
     both = fwd * bwd
-    return both / (1 + both), pairs, float(log_z)
+    return both / (1 + both), pairs, log_z
+
+
+def _chained(maps: np.ndarray) -> np.ndarray:
+    """The values after each of the maps v -> (m0 v + m1) / (m2 v + m3), the first of which ignores what is before."""
+    n = maps.shape[1]
+    rows = -(-n // SEGMENT)
+    if rows == 1:
+        out, v = np.empty(n), 0.0
+        for t in range(n):
+            m = maps[:, t]
+            out[t] = v = (m[0] * v + m[1]) / (m[2] * v + m[3])
+        return out
+    fill = np.zeros((4, rows * SEGMENT - n))
+    fill[[0, 3]] = 1.0
+    m = np.concatenate([maps, fill], axis=1).reshape(4, rows, SEGMENT).transpose(2, 0, 1).copy()
+    whole = m[0]
+    for t in range(1, SEGMENT):
+        p, q = m[t], whole
+        whole = np.stack([p[0] * q[0] + p[1] * q[2], p[0] * q[1] + p[1] * q[3], p[2] * q[0] + p[3] * q[2], p[2] * q[1] + p[3] * q[3]])
+        whole /= np.abs(whole).max(axis=0)
+    v = np.concatenate([[0.0], _chained(whole)[:-1]])
+    out = np.empty((SEGMENT, rows))
+    for t in range(SEGMENT):
+        p = m[t]
+        out[t] = v = (p[0] * v + p[1]) / (p[2] * v + p[3])
+    return out.T.ravel()[:n]
 
 
 @dataclass(frozen=True)
 class ChainCRF:
+    """Weights by feature, of a token's own (also ``<`` and ``>`` for its neighbours' beginnings), and the calibration."""
+
     features: tuple[str, ...] = ()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -20.0
     transition: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    #: Evidence per token of toxic and of other documents.
+    rates: tuple[float, float] = (1.0, 0.0)
     ends: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def emissions(self) -> Emissions:
         return Emissions(dict(zip(self.features, self.weights.tolist())), self.bias)
 
-    def tag(self, texts: list[str], emissions: Emissions) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
-        """The raw score and the spans (first and last token, marginal) of each text."""
+    def tag(self, texts: list[str], emissions: Emissions) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
+        """The evidence, the tokens and the spans (first and last token, largest marginal) of each text."""
         tokens = [t.split() for t in texts]
         sizes = np.array([len(t) for t in tokens], np.int64)
         flat = [x for t in tokens for x in t]
-        unary = np.fromiter(map(emissions.__getitem__, flat), np.float64, len(flat))
+        unary = emissions.of(flat, sizes)
         p, _, _ = forward_backward(unary, sizes, self.transition)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        raw = np.zeros(len(texts))
+        told = np.zeros(len(texts))
         have = np.flatnonzero(sizes)
         if len(have):
-            raw[have] = np.maximum.reduceat(p, starts[have])
+            told[have] = np.add.reduceat(-np.log1p(-np.minimum(p, 0.999)), starts[have])
         spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         hot = np.flatnonzero(p >= 0.5)
         if len(hot):
@@ -142,15 +172,53 @@ class ChainCRF:
             for a, b in zip(new, [*new[1:], len(hot)]):
                 d = int(doc[a])
                 spans[d].append((int(hot[a] - starts[d]), int(hot[b - 1] - starts[d]), float(p[hot[a:b]].max())))
-            for d in np.unique(doc):
-                raw[d] = 1 - np.prod([1 - s[2] for s in spans[d]])
-        return raw.tolist(), spans
+        return told, sizes, spans
+
+    def raw(self, told: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log ratio of the likelihoods of the evidence, squeezed to 0..1; 0 without tokens."""
+        toxic, other = self.rates
+        ratio = (told * np.log(toxic / max(other, 1e-6)) - sizes * (toxic - other)) / 4
+        return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(ratio, -30, 30))), 0.0)
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        if not len(self.rates):
-            return raw
-        at = np.minimum(np.searchsorted(self.ends, raw), len(self.rates) - 1)
-        return np.clip(0.98 * self.rates[at] + 0.02 * raw, 0, 1)
+        if not len(self.levels):
+            return np.zeros(len(raw))
+        at = np.minimum(np.searchsorted(self.ends, raw), len(self.levels) - 1)
+        return np.clip(0.98 * self.levels[at] + 0.02 * raw, 0, 1)
+
+
+class Emissions:
+    """Scores of tokens for the toxic state less those for the clean one; what a word brings is worked out once."""
+
+    def __init__(self, weights: dict[str, float], bias: float, most: int = 300_000):
+        self.weights, self.bias, self.most = weights, bias, most
+        self.known: dict[str, int] = {}
+        self.own, self.left, self.right = [], [], []
+
+    def of(self, tokens: list[str], sizes: np.ndarray) -> np.ndarray:
+        """The score of each of the tokens of all sequences in a row."""
+        if len(self.known) > self.most:  # a cache, so that it may be emptied
+            self.known.clear()
+            self.own, self.left, self.right = [], [], []
+        get = self.weights.get
+        for token in set(tokens).difference(self.known):
+            self.known[token] = len(self.own)
+            self.own.append(sum(get(f, 0.0) for f in chain_features(token)))
+            beside = context(token)
+            self.left.append(get(f"<{beside}", 0.0)), self.right.append(get(f">{beside}", 0.0))
+        which = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        score = np.array(self.own)[which] + self.bias if len(which) else np.zeros(0)
+        inner = np.flatnonzero(~first_tokens(sizes))
+        score[inner] += np.array(self.left)[which[inner - 1]] if len(inner) else 0.0
+        score[inner - 1] += np.array(self.right)[which[inner]] if len(inner) else 0.0
+        return score
+
+
+def first_tokens(sizes: np.ndarray) -> np.ndarray:
+    """Which of the tokens of all sequences in a row begin one."""
+    out = np.zeros(int(sizes.sum()), bool)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return out
 
 
 def offsets(text: str, spans: list[tuple[int, int, float]]) -> list[dict]:
@@ -162,11 +230,11 @@ def offsets(text: str, spans: list[tuple[int, int, float]]) -> list[dict]:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a partition, and toxic ones, that have each feature."""
+    """Documents of a partition, and toxic ones, that have each labelling feature."""
     total, toxic = Counter(), Counter()
     for piece, texts in text_pieces(batches):
         for text, y in zip(texts, piece.column("y").to_pylist()):
-            found = {f for w in set(text.decode("utf-8", "replace").split()) for f in token_features(w)}
+            found = {f for w in set(text.decode("utf-8", "replace").split()) for f in labelling_features(w)}
             total.update(found)
             if y:
                 toxic.update(found)
@@ -181,136 +249,182 @@ def _counts(total: Counter, toxic: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "n": pa.array([total[f] for f in names], pa.int64()), "toxic": pa.array([toxic[f] for f in names], pa.int64())})
 
 
-def toxic_features(sample: DataFrame, max_candidates: int = 5000, z: float = 2.2, least: int = 3) -> tuple[str, ...]:
-    """The features that label tokens, from rows of (text, y); at most ``max_candidates``, the surest.
+def toxic_features(sample: DataFrame, share: float, z: float = 2.2, least: int = 3) -> frozenset[str]:
+    """The words and beginnings that label tokens, from rows of (text, y) of which ``share`` are toxic.
 
-    A feature is kept if toxic documents have it between ``least`` different pairs of neighbours.
+    One is kept if toxic documents have it between ``least`` different pairs of neighbours.
     """
     counts = sample.mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    share, zz = F.col("toxic") / F.col("n"), z * z
-    lower = (share + zz / (2 * F.col("n")) - z * F.sqrt((share * (1 - share) + zz / (4 * F.col("n"))) / F.col("n"))) / (1 + zz / F.col("n"))
-    top = counts.where(F.col("toxic") >= least).withColumn("lower", lower).where("lower > 0.5").orderBy(F.desc("lower"), F.desc("toxic"), "feature").limit(max_candidates)
-    candidates = {r["feature"] for r in top.select("feature").collect()}
+    part, zz = F.col("toxic") / F.col("n"), z * z
+    lower = (part + zz / (2 * F.col("n")) - z * F.sqrt((part * (1 - part) + zz / (4 * F.col("n"))) / F.col("n"))) / (1 + zz / F.col("n"))
+    candidates = {r["feature"] for r in counts.where((F.col("toxic") >= least) & (lower > min(0.5, LIFT * share))).select("feature").collect()}
     if not candidates:
-        return ()
+        return frozenset()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
         for _, texts in text_pieces(batches):
-            found = set()
+            found, known = set(), {}
             for t in texts:
                 tokens = ["", *t.decode("utf-8", "replace").split(), ""]
                 for k, w in enumerate(tokens[1:-1], 1):
                     if (own := known.get(w)) is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        own = known[w] = [f for f in token_features(w) if f in candidates]
-                    # the first is the whole word, if that is a candidate
-                    for f in own[:1] if own and own[0][0] == "w" else own:
+                        own = known[w] = matched(w, candidates)
+                    for f in own:
                         found.add((f, f"{tokens[k - 1]} {tokens[k + 1]}"))
             rows = sorted(found)
             yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in rows], pa.string()), "beside": pa.array([x for _, x in rows], pa.string())})
 
     places_of = sample.where("y = 1").mapInArrow(places, "feature string, beside string").groupBy("feature").agg(F.count_distinct("beside").alias("places"))
-    return tuple(sorted(r["feature"] for r in places_of.where(F.col("places") >= least).select("feature").collect()))
+    return frozenset(r["feature"] for r in places_of.where(F.col("places") >= least).select("feature").collect())
+
+
+def matched(token: str, candidates: set[str] | frozenset[str]) -> list[str]:
+    """The candidates that match: the whole word, or else its beginnings."""
+    own = [f for f in labelling_features(token) if f in candidates]
+    return own[:1] if own and own[0][0] == "w" else own
+
+
+def chain_vocabulary(sample: DataFrame, labelling: frozenset[str]) -> tuple[str, ...]:
+    """The features that ``LEAST`` labelled tokens of toxic documents have; their number is bounded by the sample's."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, known = Counter(), {}
+        for _, texts in text_pieces(batches):
+            for t in texts:
+                tokens = ["", *t.decode("utf-8", "replace").split(), ""]
+                for k, w in enumerate(tokens[1:-1], 1):
+                    if (hit := known.get(w)) is None:
+                        if len(known) > 300_000:
+                            known.clear()
+                        hit = known[w] = bool(matched(w, labelling))
+                    if hit:
+                        count.update(chain_features(w))
+                        count.update((f"<{context(tokens[k - 1])}", f">{context(tokens[k + 1])}"))
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+
+    got = sample.where("y = 1").mapInArrow(seen, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return tuple(sorted(r["feature"] for r in got.where(F.col("n") >= LEAST).select("feature").collect()))
 
 
-def _sequences(features: tuple[str, ...]):
-    """Rows of (size, at, feature, y): a sequence's length, its tokens with features, its document's label."""
+_PIECE = "sizes array<int>, tokens array<int>, truth array<byte>, starts array<int>, own array<int>, beside array<int>"
+
+
+def _encoded(features: tuple[str, ...], labelling: frozenset[str]):
+    """A row per piece of the sample: its sequences as numbers of the piece's words, the labels of tokens, and of each word the numbers of its features."""
     number = {f: i for i, f in enumerate(features)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
         for piece, texts in text_pieces(batches):
-            out = {"size": [], "at": [], "feature": [], "y": []}
-            for text, y in zip(texts, piece.column("y").to_pylist()):
-                tokens = text.decode("utf-8", "replace").split()
-                for a in range(0, len(tokens), SEQUENCE):
-                    at, which = [], []
-                    for k, w in enumerate(tokens[a : a + SEQUENCE]):
-                        if (ids := known.get(w)) is None:
-                            if len(known) > 200_000:
-                                known.clear()
-                            ids = known[w] = [number[f] for f in token_features(w) if f in number]
-                        at += [k] * len(ids)
-                        which += ids
-                    out["size"].append(min(SEQUENCE, len(tokens) - a)), out["at"].append(at), out["feature"].append(which), out["y"].append(y)
-            yield pa.RecordBatch.from_pydict({"size": pa.array(out["size"], pa.int64()), "at": pa.array(out["at"], pa.list_(pa.int64())), "feature": pa.array(out["feature"], pa.list_(pa.int64())), "y": pa.array(out["y"], pa.int64())})
+            split = [t.decode("utf-8", "replace").split() for t in texts]
+            words: dict[str, int] = {}
+            which = [words.setdefault(w, len(words)) for t in split for w in t]
+            ids = [[number[f] for f in chain_features(w) if f in number] for w in words]
+            beside = [number.get(f"{side}{context(w)}", -1) for w in words for side in "<>"]
+            hit = np.array([bool(matched(w, labelling)) for w in words] or [False])
+            sizes = np.array([len(t) for t in split])
+            truth = hit[which] & np.repeat(piece.column("y").to_numpy() > 0, sizes) if which else np.zeros(0, bool)
+            row = {"sizes": sizes, "tokens": which, "truth": truth.astype(np.int8), "starts": np.cumsum([0, *map(len, ids)]), "own": [i for x in ids for i in x], "beside": beside}
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.list_(pa.int8() if k == "truth" else pa.int32())) for k, v in row.items()})
 
     return encode
 
 
-def train_crf(sample: DataFrame, features: tuple[str, ...], rounds: int = 15, l2: float = 0.5) -> ChainCRF:
+def train_crf(sample: DataFrame, labelling: frozenset[str], features: tuple[str, ...], rounds: int = 20, l2: float = 0.5) -> ChainCRF:
     """Gradient ascent on the regularised likelihood; each round is one pass summed by partition."""
     if not features:
         return ChainCRF()
-    sequences = save(sample.mapInArrow(_sequences(features), "size long, at array<long>, feature array<long>, y long"), "crf-sequences")
+    pieces = save(sample.mapInArrow(_encoded(features, labelling), _PIECE), "crf-sequences")
     k = len(features)
-    theta = np.concatenate([np.full(k, 4.0), [-4.0], [-0.5, -0.5, 0.0]])  # weights, bias, transitions 01, 10, 11
+    theta = np.concatenate([np.array([2.0 if f in labelling else 0.0 for f in features]), [-4.0], [-0.5, -0.5, 0.0]])  # weights, bias, transitions 01, 10, 11
 
-    def gradient(theta: np.ndarray) -> tuple[np.ndarray, float]:
+    def gradient(theta: np.ndarray) -> np.ndarray:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + 6)
+            total = np.zeros(k + 4)
+            padded = np.append(theta[:k], 0.0)  # the last for a neighbour without a feature
             trans = np.array([[0.0, theta[k + 1]], [theta[k + 2], theta[k + 3]]])
             for b in batches:
-                if not b.num_rows:
-                    continue
-                sizes = b.column("size").to_numpy()
-                starts = np.cumsum(sizes) - sizes
-                at, which = b.column("at"), b.column("feature").flatten().to_numpy()
-                per = np.diff(at.offsets.to_numpy()) if at.offset == 0 else np.array([len(x) for x in at.to_pylist()])
-                place = at.flatten().to_numpy() + np.repeat(starts, per)
-                gold = np.repeat(b.column("y").to_numpy(), per)
-                unary = np.full(int(sizes.sum()), theta[k])
-                np.add.at(unary, place, theta[which])
-                truth = np.zeros(len(unary))
-                truth[place[gold == 1]] = 1.0
-                p, pairs, log_z = forward_backward(unary, sizes, trans)
-                miss = truth - p
-                np.add.at(total, which, miss[place])
-                total[k] += miss.sum()
-                inner = np.ones(len(unary), bool)
-                inner[starts[sizes > 0]] = False
-                now, before = truth[inner], truth[np.flatnonzero(inner) - 1]
-                seen = [((1 - before) * now).sum(), (before * (1 - now)).sum(), (before * now).sum()]
-                total[k + 1 : k + 4] += np.array(seen) - [pairs[0, 1], pairs[1, 0], pairs[1, 1]]
-                total[k + 4] += (truth * unary).sum() + np.dot(seen, theta[k + 1 : k + 4]) - log_z
-                total[k + 5] += len(unary)
-            yield pa.RecordBatch.from_pydict({"i": np.arange(k + 6, dtype=np.int64), "v": total})
-
-        got = sequences.mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(k + 6)
+                for i in range(b.num_rows):
+                    sizes, tokens, truth, starts, own, beside = (b.column(c)[i].values.to_numpy() for c in ("sizes", "tokens", "truth", "starts", "own", "beside"))
+                    if not len(tokens):
+                        continue
+                    n_words = len(starts) - 1
+                    word = np.repeat(np.arange(n_words), np.diff(starts))
+                    inner = np.flatnonzero(~first_tokens(sizes))
+                    before, after = beside[::2], beside[1::2]
+                    unary = np.bincount(word, theta[own], n_words)[tokens] + theta[k]
+                    unary[inner] += padded[before][tokens[inner - 1]]
+                    unary[inner - 1] += padded[after][tokens[inner]]
+                    p, pairs, _ = forward_backward(unary, sizes, trans)
+                    miss = truth - p
+                    total[:k] += np.bincount(own, np.bincount(tokens, miss, n_words)[word], k)
+                    for side, near, at in ((before, inner - 1, inner), (after, inner, inner - 1)):
+                        of = np.bincount(tokens[near], miss[at], n_words)
+                        total[:k] += np.bincount(side[side >= 0], of[side >= 0], k)
+                    total[k] += miss.sum()
+                    now, was = truth[inner], truth[inner - 1]
+                    total[k + 1 :] += np.array([((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum()]) - [pairs[0, 1], pairs[1, 0], pairs[1, 1]]
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"i": some, "v": total[some]})
+
+        got = pieces.mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(k + 4)
         for r in got:
             total[r["i"]] = r["v"]
-        return total[: k + 4] - l2 * theta, float(total[k + 4] - l2 / 2 * theta @ theta)
+        return total - l2 * theta
 
     memory = np.full(len(theta), 1e-8)
     for _ in range(rounds):
-        slope, _ = gradient(theta)
+        slope = gradient(theta)
         memory = 0.7 * memory + 0.3 * slope**2
-        theta = theta + 0.5 * slope / (np.sqrt(memory) + 1.0)
+        theta = theta + 0.4 * slope / (np.sqrt(memory) + 1.0)
+    drop(pieces)
     return ChainCRF(features, theta[:k], float(theta[k]), np.array([[0.0, theta[k + 1]], [theta[k + 2], theta[k + 3]]]))
 
 
+def calibrate(model: ChainCRF, sample: DataFrame) -> ChainCRF:
+    """The model with the evidence per token of toxic and of other documents, and the isotonic levels."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = model.emissions()
+        for piece, texts in text_pieces(batches):
+            evidence, sizes, _ = model.tag([t.decode("utf-8", "replace") for t in texts], emissions)
+            yield pa.RecordBatch.from_pydict({"told": evidence, "size": sizes, "y": piece.column("y").cast(pa.int64())})
+
+    rows = save(sample.mapInArrow(told, "told double, size long, y long"), "crf-evidence")
+    s = {r["y"]: (r["told"], r["size"]) for r in rows.groupBy("y").agg(F.sum("told").alias("told"), F.sum("size").alias("size")).collect()}
+    per = {y: (s[y][0] or 0.0) / max(1, s[y][1] or 0) for y in s}
+    other = max(per.get(0, 0.0), 1e-6)
+    rated = ChainCRF(model.features, model.weights, model.bias, model.transition, (max(per.get(1, 0.0), 2 * other), other))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = rated.raw(b.column("told").to_numpy(), b.column("size").to_numpy())
+            yield pa.RecordBatch.from_pydict({"bin": np.floor(raw * BINS).astype(np.int64), "y": b.column("y")})
+
+    hist = rows.mapInArrow(binned, "bin long, y long").groupBy("bin").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    drop(rows)
+    # a bin without documents has the ratio itself as its level, where its neighbours leave room for that
+    middle = (np.arange(BINS + 1) + 0.5) / BINS
+    good, n = 0.02 * np.minimum(middle, 1.0), np.full(BINS + 1, 0.02)
+    for r in hist:
+        good[r["bin"]] += r["good"]
+        n[r["bin"]] += r["n"]
+    ends, levels = isotonic((np.arange(BINS + 1) + 1) / BINS, good, n)
+    return ChainCRF(model.features, model.weights, model.bias, model.transition, rated.rates, ends, levels)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int) -> ChainCRF:
     known, n = bounded_labels(labels, "toxic", max_rows)
     if not n:
         return ChainCRF()
     # an id and a label for each of about max_rows rows: broadcast, so that no texts move
-    sample = save(docs.join(F.broadcast(save(known, "labels")), "doc_id").select(F.col("text").cast("string"), "y"), "toxicity-sample")
-    model = train_crf(sample, toxic_features(sample))
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = model.emissions()
-        for piece, texts in text_pieces(batches, max_bytes=8_000_000):
-            raw, _ = model.tag([t.decode("utf-8", "replace") for t in texts], emissions)
-            yield pa.RecordBatch.from_pydict({"bin": np.floor(np.array(raw) * BINS).astype(np.int64), "y": piece.column("y").cast(pa.int64())})
-
-    hist = sample.mapInArrow(binned, "bin long, y long").groupBy("bin").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
-    if not len(hist):
-        return model
-    ends, rates = isotonic((hist["bin"].to_numpy() + 1) / BINS, hist["good"].to_numpy(), hist["n"].to_numpy())
-    return ChainCRF(model.features, model.weights, model.bias, model.transition, ends, rates)
+    known = save(known, "labels")
+    sample = save(docs.join(F.broadcast(known), "doc_id").select(F.col("text").cast("string"), "y"), "toxicity-sample")
+    labelling = toxic_features(sample, sample.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])
+    features = chain_vocabulary(sample, labelling) if labelling else ()
+    model = calibrate(train_crf(sample, labelling, features), sample) if features else ChainCRF()
+    drop(known, sample)
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
@@ -321,11 +435,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = model.emissions()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-        for piece, texts in text_pieces(batches, max_bytes=8_000_000):
+        for piece, texts in text_pieces(batches):
             strings = [t.decode("utf-8", "replace") for t in texts]
-            raw, spans = model.tag(strings, emissions)
+            told, sizes, spans = model.tag(strings, emissions)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": piece.column("doc_id"), "score": model.calibrated(np.array(raw)),
+                "doc_id": piece.column("doc_id"), "score": model.calibrated(model.raw(told, sizes)),
                 "spans": pa.array([offsets(t, s) for t, s in zip(strings, spans)], kind),
             })
 
