@@ -9,12 +9,11 @@ to come to ``RUN_WORDS`` words. It is hashed, case and the kind of white space a
 it, there the first in the text; sentences covered by any other occurrence are removed with the
 white space behind them.
 
-Texts are cut and hashed once; what is written has a row per text with its runs, their places and
-whether a run occurred earlier in the text. The first document of a run is a minimum,
-pre-aggregated where the runs are read, so a passage that a third of all documents share is one
-row of each task. Runs are then joined with the repeated ones by hash; a hot hash only lengthens
-the side that adaptive execution can split. No pairs of documents are made. The places to be cut
-are joined with the texts by id and a hash of the text. Run hashes have 96 bits.
+The first document of a run is a minimum, pre-aggregated where the runs are read, so a passage
+that a third of all documents share is one row of each task. Runs are then joined with the
+repeated ones by hash; a hot hash only lengthens the side that adaptive execution can split. No
+pairs of documents are made. What is found for each document is joined with its text by id, and
+only texts that have something to lose are cut and hashed a second time. Run hashes have 96 bits.
 
 Null and empty texts have no sentences and are returned as they are. Texts of fewer than ``RUN``
 sentences or ``RUN_WORDS`` words have no run. Rows of one id are one document for this, whether
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import free_names, table, text_pieces
@@ -124,87 +123,83 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _document_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text: its sentences, and of each run its hash, check, first and end byte, and whether it occurred before."""
+    """The hash and check of each distinct run of a text; a row without a hash where a run occurs twice in it."""
     for piece, texts in text_pieces(batches):
-        found = {"n_sentences": [], "h": [], "c": [], "a": [], "b": [], "again": []}
-        for t in texts:
-            starts, _, at, size, h, c = runs(t)
-            again = np.ones(len(at), bool)
-            again[np.unique(h, return_index=True)[1]] = False
-            after = np.append(starts, len(t))
-            found["n_sentences"].append(len(starts))
-            for k, v in (("h", h), ("c", c), ("a", after[at]), ("b", after[at + size]), ("again", again)):
-                found[k].append(v)
-        offsets = pa.array(np.cumsum([0, *map(len, found["h"])]), pa.int32())
-        kinds = {"h": np.int64, "c": np.int32, "a": np.int32, "b": np.int32, "again": bool}
-        lists = {k: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found[k]).astype(v))) for k, v in kinds.items()}
-        yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "t": piece.column("t"), "n_sentences": pa.array(found["n_sentences"], pa.int32()), **lists})
-
-
-def document_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, n_sentences, and arrays h, c, a, b, again) of every row; ``t`` is a hash of the text."""
-    ids = docs.select("doc_id", F.col("text").cast("string"), text_hash().alias("t"))
-    kind = dict(ids.dtypes)["doc_id"]
-    return ids.mapInArrow(_document_runs, f"doc_id {kind}, t long, n_sentences int, h array<long>, c array<int>, a array<int>, b array<int>, again array<boolean>")
-
-
-def text_hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that overlap or touch as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+        hs, cs, sizes, again = [], [], [], []
+        for i, t in enumerate(texts):
+            _, _, _, _, h, c = runs(t)
+            _, first = np.unique(h, return_index=True)
+            hs.append(h[first]), cs.append(c[first]), sizes.append(len(first))
+            if len(first) < len(h):
+                again.append(i)
+        at = np.concatenate([np.repeat(np.arange(len(texts)), sizes), np.array(again, np.int64)])
+        none = np.arange(len(at)) >= len(at) - len(again)
+        values = {"h": (hs, np.int64), "c": (cs, np.int32)}
+        columns = {k: pa.array(np.concatenate([*v, np.zeros(len(again), kind)]).astype(kind), mask=none) for k, (v, kind) in values.items()}
+        yield pa.RecordBatch.from_pydict(columns | {"doc_id": piece.column("doc_id").take(pa.array(at))})
+
+
+def without_repeats(text: bytes, repeated: set[int]) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without covered sentences, and the removed byte spans.
+
+    ``repeated`` has the hashes of runs whose first occurrence is elsewhere; later occurrences
+    of a run within the text are covered as well.
+    """
+    starts, _, at, size, h, _ = runs(text)
+    if not len(at):
+        return text, []
+    gone = np.ones(len(at), bool)
+    gone[np.unique(h, return_index=True)[1]] = False
+    if repeated:
+        gone |= np.isin(h, np.fromiter(repeated, np.int64, len(repeated)))
+    edge = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(edge, at[gone], 1)
+    np.add.at(edge, at[gone] + size[gone], -1)
+    change = np.diff((np.cumsum(edge[:-1]) > 0).astype(np.int8), prepend=0, append=0)
+    after = np.append(starts, len(text))
+    spans = [(int(after[a]), int(after[b])) for a, b in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1))]
     kept, place = [], 0
     for a, b in spans:
         kept.append(text[place:a])
         place = b
     kept.append(text[place:])
-    return b"".join(kept)
+    return b"".join(kept), spans
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, n_sentences, cuts): a row for each id and text, with the byte spans of its repeated runs."""
-    rows = save(document_runs(docs), "document-runs")
-    each = rows.select("doc_id", "t", F.explode(F.arrays_zip("h", "c", "a", "b", "again")).alias("r")).select("doc_id", "t", "r.*")
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, repeated) of the documents that lose something: hashes of their runs that a smaller id has as well, none if a run is only repeated within."""
+    ids = docs.select("doc_id", F.col("text").cast("string"))
+    spans = save(ids.mapInArrow(_document_runs, f"h long, c int, doc_id {dict(ids.dtypes)['doc_id']}"), "sentence-runs")
+    each = spans.where("h IS NOT NULL AND doc_id IS NOT NULL")
     first = each.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("h", "c", "first")
-    later = each.join(first, ["h", "c"]).where(F.col("doc_id") > F.col("first"))
-    span = F.struct("a", "b")
-    cut = later.select("doc_id", "t", F.lit(0).alias("n_sentences"), span.alias("cut")).unionByName(
-        each.where("again").select("doc_id", "t", F.lit(0).alias("n_sentences"), span.alias("cut"))
-    ).unionByName(rows.select("doc_id", "t", "n_sentences", F.lit(None).cast("struct<a:int,b:int>").alias("cut")))
-    return cut.groupBy("doc_id", "t").agg(F.max("n_sentences").alias("n_sentences"), F.collect_set("cut").alias("cuts"))
+    later = each.join(first, ["h", "c"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "h")
+    within = spans.where("h IS NULL AND doc_id IS NOT NULL").select("doc_id", "h")
+    return later.unionByName(within).groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
 
 
 def remove_repeats(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with its texts cleaned and three more columns, whose names are returned: sentences, number of removed spans and the removed character spans."""
-    t, mine, its, *added, cuts = free_names(docs, "t", "mine", "its", "n_sentences", "n_removed_spans", "removed", "cuts")
-    found = removals(docs.select("doc_id", "text")).select(F.col("doc_id").alias(mine), F.col("t").alias(its), F.col("n_sentences").alias(added[0]), F.col("cuts").alias(cuts))
-    keyed = docs.withColumn(t, text_hash())
-    marked = keyed.join(found, keyed[t].eqNullSafe(found[its]) & keyed["doc_id"].eqNullSafe(found[mine]), "left").select(*(F.col(f"`{c}`") for c in [*docs.columns, added[0], cuts]))
+    """``docs`` with its texts cleaned and two more columns, whose names are returned: number of removed spans and the removed character spans."""
+    mine, repeated, *added = free_names(docs, "mine", "repeated", "n_removed_spans", "removed")
+    found = repeated_runs(docs.select("doc_id", "text")).select(F.col("doc_id").alias(mine), F.col("repeated").alias(repeated))
+    # rows without an id are looked through where they lie
+    known, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    marked = known.join(found, known["doc_id"] == found[mine], "left").select(*docs.columns, repeated).unionByName(nameless.withColumn(repeated, F.array().cast("array<long>")))
     kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema]
-    schema = ", ".join(f"`{n}` {k}" for n, k in [*kinds, (added[0], "int"), (added[1], "int"), (added[2], "array<struct<start:int,end:int>>")])
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*kinds, (added[0], "int"), (added[1], "array<struct<start:int,end:int>>")])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        char = lambda x, b: len(x[:b].decode("utf-8", "replace"))
         for piece, texts in text_pieces(batches):
-            spans = [merged([(c["a"], c["b"]) for c in cut or ()]) for cut in piece.column(cuts).to_pylist()]
-            was = piece.column("text")
-            columns = {n: piece.column(n) for n, _ in kinds}
-            columns["text"] = pa.array([without(x, s).decode("utf-8", "replace") if ok else None for x, s, ok in zip(texts, spans, was.is_valid().to_pylist())], pa.string())
-            char = lambda x, b: len(x[:b].decode("utf-8", "replace"))
-            columns[added[0]] = piece.column(added[0])
-            columns[added[1]] = pa.array([len(s) for s in spans], pa.int32())
-            columns[added[2]] = pa.array([[{"start": char(x, a), "end": char(x, b)} for a, b in s] for x, s in zip(texts, spans)], kind)
+            done = [(None, []) if r is None else without_repeats(t, set(r)) for t, r in zip(texts, piece.column(repeated).to_pylist())]
+            if any(spans for _, spans in done):
+                was = piece.column("text").to_pylist()
+                new = pa.array([x.decode("utf-8", "replace") if spans else w for (x, spans), w in zip(done, was)], pa.string())
+            else:
+                new = piece.column("text")
+            columns = {n: new if n == "text" else piece.column(n) for n, _ in kinds}
+            columns[added[0]] = pa.array([len(spans) for _, spans in done], pa.int32())
+            columns[added[1]] = pa.array([[{"start": char(t, a), "end": char(t, b)} for a, b in spans] for t, (_, spans) in zip(texts, done)], kind)
             yield pa.RecordBatch.from_pydict(columns)
 
     return marked.mapInArrow(clean, schema), added
@@ -220,6 +215,6 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document that had words and keeps none is dropped; one that had none stays.
     """
-    out, (_, n_removed, _) = remove_repeats(docs)
+    out, (n_removed, _) = remove_repeats(docs)
     out = out.where((F.col(n_removed) == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     return out.select(*[F.length("text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
