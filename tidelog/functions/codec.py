@@ -134,14 +134,25 @@ def variant_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def canonical_json(text: Column) -> Column:
-    """Canonical JSON of any JSON text; null for what is not strict JSON."""
+def is_easy(text: Column) -> Column:
+    """True if ``variant_json`` gives the canonical JSON of ``text``."""
     # what VARIANT accepts beyond strict JSON (trailing text, single quotes) ends otherwise than it began, or holds a quote
     closed = ~text.contains("'") & (F.length(F.regexp_replace(text, r'"[^"]*"|[\s]', "")) <= F.length(F.regexp_replace(variant_json(text), r'"[^"]*"', "")))
-    easy = plain(text) & F.coalesce(closed, F.lit(False))
+    return plain(text) & F.coalesce(closed, F.lit(False))
+
+
+def canonical_json(text: Column) -> Column:
+    """Canonical JSON of any JSON text; null for what is not strict JSON."""
+    easy = is_easy(text)
     return F.coalesce(F.when(easy, variant_json(text)), _exact(F.when(~easy, text)))
 
 
+def with_canonical(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the JSON text of ``column`` made canonical; only rows that need the exact way go to Python."""
+    easy = F.coalesce(is_easy(F.col(column)), F.lit(False))
+    return rows.where(easy).withColumn(column, variant_json(F.col(column))).unionByName(rows.where(~easy).withColumn(column, _exact(F.col(column))))
+
+
 def quoted(text: Column) -> Column:
     """A JSON string of text without control characters, quotes and backslashes (ids and valid topics often are)."""
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -185,7 +196,7 @@ def _fits(text: Column, parts: dict[str, Column], kind: str) -> Column:
     """True for text that is canonical already and valid."""
     from tidelog.functions.validity import valid_topic
 
-    fits = F.is_valid_utf8(text) & text.rlike(_CANONICAL[kind])
+    fits = F.is_valid_utf8(text) & (parts["message_id"] != "")  # the pattern's id is never empty
     if kind != "ack":
         fits = fits & plain(parts["payload"]) & (variant_json(parts["payload"]) == parts["payload"])
     if kind == "message":
@@ -193,26 +204,32 @@ def _fits(text: Column, parts: dict[str, Column], kind: str) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
-def _struct(text: Column, parts: dict[str, Column], fits: Column, kind: str) -> Column:
+def _good(parts: dict[str, Column]) -> Column:
+    return F.struct(F.lit(True).alias("ok"), parts["message_id"].alias("message_id"), parts["topic"].alias("topic"), parts["payload"].alias("payload_json"), F.lit(None).cast("string").alias("error"))
+
+
+def _other(text: Column, kind: str) -> Column:
+    """The struct of a text that is not canonical and valid."""
     null = F.lit(None).cast("string")
     utf8 = F.coalesce(F.is_valid_utf8(text), F.lit(True))
-    good = F.struct(F.lit(True).alias("ok"), parts["message_id"].alias("message_id"), parts["topic"].alias("topic"), parts["payload"].alias("payload_json"), null.alias("error"))
     broken = F.struct(F.lit(False).alias("ok"), null.alias("message_id"), null.alias("topic"), null.alias("payload_json"), F.lit("not_utf8").alias("error"))
-    return F.when(fits, good).when(~utf8, broken).otherwise(_decoders[kind](F.when(~fits & utf8, text)))
+    return F.when(~utf8, broken).otherwise(_decoders[kind](F.when(utf8, text)))
 
 
 def decode(raw: Column, kind: str = "message") -> Column:
     """A struct of ``DECODED`` for each wire text (string, or binary taken as UTF-8)."""
     text = raw.cast("string")
     parts = _parts(text, kind)
-    return _struct(text, parts, _fits(text, parts, kind), kind)
+    fits = _fits(text, parts, kind)
+    return F.when(fits, _good(parts)).otherwise(_other(F.when(~fits, text), kind))
 
 
 def decode_rows(rows: DataFrame, raw: Column, kind: str = "message", name: str = "d") -> DataFrame:
-    """``rows`` with the struct of ``decode``, computed step by step so that no pattern is matched more than once."""
+    """``rows`` with the struct of ``decode``, step by step so that no pattern is matched more than once; only rows that are not canonical go to Python."""
     text = F.col("_text")
     staged = rows.withColumn("_text", raw.cast("string"))
     staged = staged.withColumns({f"_{k}": c for k, c in _parts(text, kind).items()})
     parts = {k: F.col(f"_{k}") for k in ("message_id", "payload", "topic")}
     staged = staged.withColumn("_fits", _fits(text, parts, kind))
-    return staged.withColumn(name, _struct(text, parts, F.col("_fits"), kind)).select(*rows.columns, name)
+    canonical = staged.where("_fits").withColumn(name, _good(parts)).select(*rows.columns, name)
+    return canonical.unionByName(staged.where("NOT _fits").withColumn(name, _other(text, kind)).select(*rows.columns, name))

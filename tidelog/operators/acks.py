@@ -19,12 +19,12 @@ def completed_prefix(log: DataFrame, done: Column) -> DataFrame:
     """Per sender the rows that are complete: all before the first that is not ``done``.
 
     Returns sender_id, rows, completed, blocked_by (seq of the first that is not done, or null)
-    and held (rows that are done but behind it). One aggregation; the first block is joined back
-    on the sender only to count, so rows are not sorted.
+    and held (rows that are done but behind it). Two aggregations and a join on the sender; rows
+    are neither sorted nor gathered, so a sender of any size is added up where its rows lie.
     """
     flagged = log.select("sender_id", "seq", done.alias("_done"))
-    first = F.min(F.when(~F.col("_done"), F.col("seq"))).over(Window.partitionBy("sender_id"))
-    rows = flagged.withColumn("_first", first)
+    first = flagged.groupBy(F.col("sender_id").alias("_sender")).agg(F.min(F.when(~F.col("_done"), F.col("seq"))).alias("_first"))
+    rows = flagged.join(first, F.col("sender_id").eqNullSafe(F.col("_sender")))
     before = F.col("_first").isNull() | (F.col("seq") < F.col("_first"))
     return rows.groupBy("sender_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(before).alias("completed"), F.min("_first").alias("blocked_by"), F.count_if(~before & F.col("_done")).alias("held"))
 
@@ -74,13 +74,12 @@ def first_wins(deliveries: DataFrame, order: list[str]) -> DataFrame:
     return deliveries.groupBy("message_id").agg(F.min_by(rest, rank).alias("r"), F.count(F.lit(1)).alias("copies")).select("message_id", "r.*", "copies")
 
 
-def window_summary(policy_rows: DataFrame, upto: Column) -> DataFrame:
-    """At a crash after the rows ``upto``: rows of each sender that no sync or checkpoint covers.
+def window_summary(policy_rows: DataFrame) -> DataFrame:
+    """At a crash behind the last row: rows of each sender that no sync or checkpoint covers.
 
     ``policy_rows`` are rows of a policy fold with ``open`` (rows not covered after the row).
     """
-    seen = policy_rows.where(upto)
-    return seen.groupBy("sender_id").agg(F.count(F.lit(1)).alias("rows"), F.max_by("open", "seq").alias("open"))
+    return policy_rows.groupBy("sender_id").agg(F.count(F.lit(1)).alias("rows"), F.max_by("open", "seq").alias("open"))
 
 
 def next_deadline(*deadlines: Column) -> Column:

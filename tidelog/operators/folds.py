@@ -4,12 +4,11 @@ A key (a sender, a route) is an ordered stream. Rows are shuffled by key once an
 the partition; a task then streams them in Arrow batches and carries one small state per key from
 batch to batch. No group is ever gathered in memory, and many keys share a task.
 
-A key of more than ``hot_rows`` rows would keep one task busy, so then rows are dealt in ranges of
-key and order instead, and a hot key spans many ranges. Each range is folded from a guessed entry
-state (a new one), then ranges whose entry turns out to be another are folded again, until the
-exit of every range is the entry of the next. Folds that reset on their thresholds forget where
-they began, so this takes few rounds; the result is the sequential one in any case. The driver
-holds one state per range.
+A caller that knows a key to be too long for one task may ask for ``ranges``: rows are then dealt
+in ranges of key and order, and a hot key spans many of them. Each range is folded from a guessed
+entry state (a new one), then ranges whose entry turns out to be another are folded again, until
+the exit of every range is the entry of the next; the result is the sequential one in any case.
+The driver holds one state per range, so this is for folds of a small state (counters).
 
 The same classes run inside the streaming processors.
 """
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.config import FastMode, GroupMode
+from tidelog.config import DurableMode, FastMode, GroupMode
+from tidelog.errors import ConfigError
 from tidelog.session import save
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -42,14 +42,13 @@ class Fold:
         raise NotImplementedError
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold], hot_rows: int = 2_000_000) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold], ranges: int | None = None) -> DataFrame:
     """``rows`` with the columns that the fold adds; ``make`` gives the state of a new key.
 
-    ``order`` must be total within a key. Rows of a null key are one key.
+    ``order`` must be total within a key. Rows of a null key are one key. The input runs once.
     """
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > hot_rows:
-        return _fold_ranges(rows, keys, order, make, max(2, -(-largest // hot_rows)) * 8)
+    if ranges:
+        return _fold_ranges(rows, keys, order, make, ranges)
     names = rows.columns
     schema = _schema(rows, make)
 
@@ -174,6 +173,22 @@ class Rotation(Fold):
         return self.segment, start, self.end
 
 
+class RotationOn(Rotation):
+    """Rotation that goes on behind the segment, end and records that stand in the key's first row (null for a new log)."""
+
+    reads = ("frame_size", "on_segment", "on_end", "on_records")
+
+    def __init__(self, max_records: int, max_bytes: int):
+        super().__init__(max_records, max_bytes)
+        self.begun = False
+
+    def step(self, frame_size: int, on_segment: int | None, on_end: int | None, on_records: int | None) -> tuple:
+        if not self.begun and on_segment is not None:
+            self.segment, self.end, self.records = on_segment, on_end, on_records
+        self.begun = True
+        return super().step(frame_size)
+
+
 class Batches(Fold):
     """Greedy batches of at most so many rows and bytes; the first row of a batch always fits."""
 
@@ -270,6 +285,39 @@ class GroupPolicy(Fold):
         return self.data.syncs, self.data.n, self.acks.checkpoints, self.acks.n
 
 
+class Durable(Fold):
+    """Every append is a sync point and every acknowledgement a checkpoint."""
+
+    reads = ("kind",)
+    adds = GroupPolicy.adds
+
+    def __init__(self) -> None:
+        self.syncs = self.checkpoints = 0
+
+    def step(self, kind: str) -> tuple:
+        if kind == "append":
+            self.syncs += 1
+        else:
+            self.checkpoints += 1
+        return self.syncs, 0, self.checkpoints, 0
+
+
+def policy_fold(mode: DurableMode | GroupMode) -> Fold:
+    """The fold of a mode's sync points; memory-first admission spills through ``Batches`` and appends nothing itself."""
+    if isinstance(mode, DurableMode):
+        return Durable()
+    if isinstance(mode, GroupMode):
+        return GroupPolicy(mode)
+    raise ConfigError("a memory-first mode does not append directly")
+
+
+def flush(policy_rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """What closing each log adds: a last sync if rows are unsynced, a last checkpoint if acknowledgements are not covered."""
+    last = policy_rows.groupBy(*keys).agg(F.max_by(F.struct("syncs", "unsynced", "checkpoints", "uncheckpointed"), order).alias("l"))
+    open_rows, open_acks = (F.col(f"l.{c}") > 0 for c in ("unsynced", "uncheckpointed"))
+    return last.select(*keys, (F.col("l.syncs") + open_rows.cast("int")).alias("syncs"), (F.col("l.checkpoints") + open_acks.cast("int")).alias("checkpoints"), F.col("l.unsynced").alias("synced_last"), F.col("l.uncheckpointed").alias("checkpointed_last"))
+
+
 class FastSpill(Fold):
     """Memory-first admission: spill until the row fits, admit it, spill down to the high-water marks."""
 

@@ -7,6 +7,8 @@ placed ``segment_id``, ``start_offset`` and ``end_offset``. A cursor table has o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,16 +94,22 @@ def next_cursors(placed: DataFrame) -> DataFrame:
 def segment_gaps(ids: DataFrame, column: str) -> DataFrame:
     """(first_missing, last_missing) between the distinct values of an integer column.
 
-    A gap ends before a value without its predecessor; it begins after the largest smaller one,
-    which is a value without its successor. Both edge sets are few and are matched by rank.
+    Neighbours are compared within buckets of 2 ** 16 values, then buckets by their least and
+    largest value within buckets of buckets, and so on: a window has at most 65,536 rows at every
+    level, and no task sees more of the values than one bucket.
     """
-    have = ids.select(F.col(column).cast("long").alias("v")).distinct()
-    starts = have.join(have.select((F.col("v") + 1).alias("v")), "v", "left_anti")
-    ends = have.join(have.select((F.col("v") - 1).alias("v")), "v", "left_anti")
-    edges = starts.select("v", F.lit(0).alias("is_end")).unionByName(ends.select("v", F.lit(1).alias("is_end")))
-    w = Window.orderBy("v", "is_end")  # one row per run of values and edge, not per row of the log
-    gaps = edges.withColumn("before", F.lag("v").over(w)).where("is_end = 0 AND before IS NOT NULL")
-    return gaps.select((F.col("before") + 1).alias("first_missing"), (F.col("v") - 1).alias("last_missing"))
+    rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("key")).distinct()
+    rows = rows.select("key", F.col("key").alias("low"), F.col("key").alias("high"))
+    gaps = []
+    for level in range(5):
+        bucket = F.shiftright("key", 16) if level < 4 else F.lit(0).cast("long")
+        if level:
+            rows = rows.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        rows = rows.select("key", "low", "high", bucket.alias("bucket"))
+        before = F.lag("high").over(Window.partitionBy("bucket").orderBy("key"))
+        gaps.append(rows.withColumn("before", before).where("low > before + 1").select((F.col("before") + 1).alias("first_missing"), (F.col("low") - 1).alias("last_missing")))
+        rows = rows.select(F.col("bucket").alias("key"), "low", "high")
+    return reduce(DataFrame.unionByName, gaps)
 
 
 def duplicate_ids(pending: DataFrame) -> DataFrame:

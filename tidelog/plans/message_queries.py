@@ -54,6 +54,22 @@ def decode_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_rows(wire_texts(spark, sf_dir), F.col("value")).select("seq", "d.*")
 
 
+def decode_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries as wire bytes: sound, with a key too many, without one, not UTF-8, not JSON."""
+    e = encoded_messages(spark, sf_dir).select("seq", F.encode(encode_delivery(F.col("message_id"), F.col("payload_json")), "UTF-8").alias("value"), "encoded")
+    bad = [F.encode("encoded", "UTF-8"), F.lit(bytearray(b'{"event_id":"a","version":1}')), F.concat("value", F.lit(bytearray(b"\xff"))), F.concat("value", F.lit(bytearray(b"}")))]
+    way = F.coalesce(*(F.when(F.col("seq") % 6 == i + 1, w) for i, w in enumerate(bad)), F.col("value"))
+    return decode_rows(e.select("seq", way.alias("value")), F.col("value"), "delivery").select("seq", "d.ok", "d.message_id", "d.payload_json", "d.error")
+
+
+def decode_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements as wire text: sound, in another order, of a number, of version 0, of nothing."""
+    m = messages(spark, sf_dir).select("seq", encode_ack(F.col("message_id")).alias("value"), "message_id")
+    ways = [F.concat(F.lit('{"version": 1, "event_id": "'), "message_id", F.lit('"}')), F.concat(F.lit('{"event_id":'), F.col("seq").cast("string"), F.lit(',"version":1}')), F.replace(F.col("value"), F.lit('"version":1'), F.lit('"version":0')), F.lit("[]")]
+    way = F.coalesce(*(F.when(F.col("seq") % 6 == i + 1, w) for i, w in enumerate(ways)), F.col("value"))
+    return decode_rows(m.select("seq", way.alias("value")), F.col("value"), "ack").select("seq", "d.ok", "d.message_id", "d.error")
+
+
 def id_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")).unionByName(messages(spark, sf_dir).select(F.col("message_id").alias("value")))
     return ids.select("value", valid_id(F.col("value")).alias("valid"))
@@ -96,6 +112,16 @@ QUERIES = {
         CASE seq % 10 WHEN 1 THEN 'missing_key' WHEN 2 THEN 'extra_key' WHEN 3 THEN 'duplicate_key' WHEN 4 THEN 'version' WHEN 5 THEN 'version' WHEN 6 THEN 'id' WHEN 7 THEN 'not_json' WHEN 8 THEN 'not_finite' END AS error
         FROM (SELECT *, seq % 10 IN (0, 9) AS good FROM e)""",
     ),
+    "ref_decode_delivery": (
+        decode_deliveries,
+        f"""WITH {MESSAGES_SQL} SELECT seq, good AS ok, CASE WHEN good THEN message_id END AS message_id, CASE WHEN good THEN payload_json END AS payload_json,
+        CASE seq % 6 WHEN 1 THEN 'extra_key' WHEN 2 THEN 'missing_key' WHEN 3 THEN 'not_utf8' WHEN 4 THEN 'not_json' END AS error FROM (SELECT *, seq % 6 IN (0, 5) AS good FROM e)""",
+    ),
+    "ref_decode_ack": (
+        decode_acks,
+        """SELECT event_id AS seq, event_id % 6 IN (0, 1, 5) AS ok, CASE WHEN event_id % 6 IN (0, 1, 5) THEN 'evt-' || event_id END AS message_id,
+        CASE event_id % 6 WHEN 2 THEN 'id' WHEN 3 THEN 'version' WHEN 4 THEN 'not_object' END AS error FROM events""",
+    ),
     "ref_valid_id": (id_validity, "SELECT value, regexp_full_match(value, '[A-Za-z0-9_-]{1,128}') AS valid FROM (SELECT c_name AS value FROM customer UNION ALL SELECT 'evt-' || event_id FROM events)"),
     "ref_valid_topic": (topic_validity, "SELECT page_id, strlen(url) BETWEEN 1 AND 65535 AND NOT contains(url, '+') AND NOT contains(url, '#') AND NOT contains(url, chr(0)) AS valid FROM pages"),
     "ref_key_sets": (key_sets, "SELECT 'evt-' || event_id AS message_id, array_to_string(list_sort(list_filter(['k', 'v'], lambda x: NOT list_contains(json_keys(props), x))), ',') AS missing, array_to_string(list_sort(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'v'))), ',') AS extra FROM events"),

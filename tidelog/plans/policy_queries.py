@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.config import FastMode, GroupMode
+from tidelog.config import DurableMode, FastMode, GroupMode
 from tidelog.operators.acks import window_summary
-from tidelog.operators.folds import AckCheckpoint, Batches, Delivery, FastSpill, GroupPolicy, GroupSync, SeenSet, ordered_fold
+from tidelog.operators.folds import AckCheckpoint, Batches, Delivery, FastSpill, GroupSync, SeenSet, flush, ordered_fold, policy_fold
 from tidelog.plans.views import MESSAGES_SQL, encoded_messages, messages
-from tidelog.sources.journal import journal_pending, replay_journal
+from tidelog.sources.journal import journal_lines, journal_pending, migrated, parse_journal, replay_journal
 
 HOUR = 3600
 GROUP = GroupMode(sync_messages=5, sync_bytes=300, sync_interval=6.0 * HOUR, ack_checkpoint_messages=4, ack_checkpoint_interval=12.0 * HOUR)
 FAST = FastMode(ram_max_messages=8, high_watermark=0.75, spill_batch_messages=3)
-CRASH = 7000
 
 
 def _synced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,20 +34,33 @@ def ack_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loss_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At a crash before event 7000: the rows of each sender that no sync covers."""
-    return window_summary(_synced(spark, sf_dir).withColumnRenamed("unsynced", "open"), F.col("seq") < CRASH)
+    """At a crash at the end of the log: the rows of each sender that no sync covers."""
+    return window_summary(_synced(spark, sf_dir).withColumnRenamed("unsynced", "open"))
 
 
 def replay_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the same crash: acknowledged rows that no checkpoint covers and that are replayed."""
-    return window_summary(_checkpointed(spark, sf_dir).withColumnRenamed("uncheckpointed", "open"), F.col("seq") < CRASH)
+    return window_summary(_checkpointed(spark, sf_dir).withColumnRenamed("uncheckpointed", "open"))
 
 
-def group_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends and acknowledgements of one log together; the tests compare it with a plain fold."""
+def _policy(spark: SparkSession, sf_dir: str, mode: DurableMode | GroupMode) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "view", "signup"), "append").otherwise("ack")
     rows = encoded_messages(spark, sf_dir).select("sender_id", "seq", "at", "frame_size", kind.alias("kind"), (F.col("seq") % 19 == 0).alias("rotates"), (F.col("seq") % 17 == 0).alias("leaves_segment"))
-    return ordered_fold(rows, ["sender_id"], ["seq"], lambda: GroupPolicy(GROUP)).select("sender_id", "seq", "syncs", "unsynced", "checkpoints", "uncheckpointed")
+    return ordered_fold(rows, ["sender_id"], ["seq"], lambda: policy_fold(mode)).select("sender_id", "seq", "syncs", "unsynced", "checkpoints", "uncheckpointed")
+
+
+def group_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends and acknowledgements of one log together."""
+    return _policy(spark, sf_dir, GROUP)
+
+
+def durable_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy(spark, sf_dir, DurableMode())
+
+
+def policy_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What closing each log syncs and checkpoints at last."""
+    return flush(group_policy(spark, sf_dir), ["sender_id"], "seq")
 
 
 def fast_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +89,32 @@ def legacy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal_pending(replay_journal(_journal(spark, sf_dir), ["sender_id"]), ["sender_id"]).select("sender_id", "seq", "message_id")
 
 
+def _journal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a line of its sender's journal, some lines damaged; then acknowledgements of each sender's first three that are sound."""
+    e = encoded_messages(spark, sf_dir).select("sender_id", "seq", "message_id", "encoded")
+    line = F.concat(F.lit('{"envelope":'), "encoded", F.lit(',"journal_version":1,"op":"enqueue"}'))
+    damaged = (
+        F.when(F.col("seq") % 13 == 5, F.expr("substring(line, 1, length(line) - 3)"))
+        .when(F.col("seq") % 13 == 6, F.replace(F.col("line"), F.lit('"enqueue"'), F.lit('"other"')))
+        .when(F.col("seq") % 13 == 7, F.replace(F.col("line"), F.lit('"journal_version":1'), F.lit('"journal_version":2')))
+        .when(F.col("seq") % 13 == 8, F.col("encoded"))
+        .otherwise(F.col("line"))
+    )
+    lines = e.withColumn("line", line).withColumn("line", damaged)
+    place = F.row_number().over(Window.partitionBy("sender_id").orderBy("seq"))
+    done = e.where("seq % 13 NOT IN (5, 6, 7)").withColumn("place", place).where("place <= 3").withColumn("seq", F.col("seq") + 1_000_000_000_000)
+    return lines.select("sender_id", "seq", "line").unionByName(journal_lines(done, "ack", ["sender_id"]))
+
+
+def journal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_journal(_journal_texts(spark, sf_dir), ["sender_id"])
+
+
+def journal_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each journal is still pending, as rows for a log."""
+    return migrated(_journal_texts(spark, sf_dir), ["sender_id"])
+
+
 def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("error", "signup"), "ack").otherwise("publish")
     return messages(spark, sf_dir).select("sender_id", "seq", "at", kind.alias("kind"), F.concat(F.lit("m-"), F.floor(F.col("seq") / 500) % 3).alias("message_id"))
@@ -110,14 +148,51 @@ f AS ({step} FROM (SELECT *, tick AS last0, {zero} AS n0, {zero} AS b0, {zero} A
 
 SYNC_SQL = _recursive(5, "b0 + frame_size >= 300", 6 * HOUR * 1_000_000, "false")
 CHECKPOINT_SQL = _recursive(4, "false", 12 * HOUR * 1_000_000, "seq % 17 = 0")
-_WINDOW = f"SELECT sender_id, count(*) AS rows, CAST(arg_max(n, seq) AS BIGINT) AS open FROM f WHERE seq < {CRASH} GROUP BY 1"
+_WINDOW = f"SELECT sender_id, count(*) AS rows, CAST(arg_max(n, seq) AS BIGINT) AS open FROM f GROUP BY 1"
+
+_DATA, _ACKS = 6 * HOUR * 1_000_000, 12 * HOUR * 1_000_000
+#: One row of appends and acknowledgements together: data sync state (last, n, b, k) and checkpoint state (la, m, c).
+_POLICY_STEP = f"""
+    SELECT sender_id, seq, rn, CASE WHEN ack THEN CASE WHEN c2 > c AND n > 0 THEN tick ELSE last END ELSE CASE WHEN d THEN tick ELSE last2 END END AS last,
+      CASE WHEN ack THEN CASE WHEN c2 > c THEN 0 ELSE n END ELSE CASE WHEN d THEN 0 ELSE n2 + 1 END END AS n,
+      CASE WHEN ack THEN CASE WHEN c2 > c THEN 0 ELSE b END ELSE CASE WHEN d THEN 0 ELSE b2 + frame_size END END AS b,
+      CASE WHEN ack THEN k + CASE WHEN c2 > c AND n > 0 THEN 1 ELSE 0 END ELSE k2 + CASE WHEN d THEN 1 ELSE 0 END END AS k,
+      CASE WHEN ack THEN la3 ELSE la END AS la, CASE WHEN ack THEN m3 ELSE m END AS m, CASE WHEN ack THEN c2 ELSE c END AS c
+    FROM (
+      SELECT *, n2 + 1 >= 5 OR b2 + frame_size >= 300 OR tick - last2 >= {_DATA} AS d, CASE WHEN e THEN tick ELSE la2 END AS la3, CASE WHEN e THEN 0 ELSE m2 + 1 END AS m3, c1 + CASE WHEN e THEN 1 ELSE 0 END AS c2
+      FROM (
+        SELECT *, CASE WHEN t THEN 0 ELSE n1 END AS n2, CASE WHEN t THEN 0 ELSE b1 END AS b2, CASE WHEN t THEN last1 + {_DATA} ELSE last1 END AS last2, k1 + CASE WHEN t THEN 1 ELSE 0 END AS k2,
+          CASE WHEN u THEN 0 ELSE m END AS m2, CASE WHEN u THEN la1 + {_ACKS} ELSE la1 END AS la2, c + CASE WHEN u THEN 1 ELSE 0 END AS c1,
+          leaves OR (CASE WHEN u THEN 0 ELSE m END) + 1 >= 4 OR tick - (CASE WHEN u THEN la1 + {_ACKS} ELSE la1 END) >= {_ACKS} AS e
+        FROM (
+          SELECT *, n1 > 0 AND last1 + {_DATA} <= tick AS t, m > 0 AND la1 + {_ACKS} <= tick AS u
+          FROM (
+            SELECT *, CASE WHEN rotates AND n > 0 THEN 0 ELSE n END AS n1, CASE WHEN rotates AND n > 0 THEN 0 ELSE b END AS b1, CASE WHEN rotates AND n > 0 THEN tick ELSE coalesce(last, tick) END AS last1,
+              k + CASE WHEN rotates AND n > 0 THEN 1 ELSE 0 END AS k1, coalesce(la, tick) AS la1
+            FROM source))))"""
+POLICY_SQL = f"""WITH RECURSIVE {MESSAGES_SQL},
+w AS (SELECT sender_id, seq, rn, tick, frame_size, event_type NOT IN ('click', 'view', 'signup') AS ack, seq % 19 = 0 AS rotates, seq % 17 = 0 AS leaves FROM o),
+f AS (
+  SELECT sender_id, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS la, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS c
+  FROM (SELECT DISTINCT sender_id FROM w)
+  UNION ALL {_POLICY_STEP.replace("FROM source", "FROM (SELECT w.*, f.last, f.n, f.b, f.k, f.la, f.m, f.c FROM f JOIN w ON w.sender_id = f.sender_id AND w.rn = f.rn + 1)")}),
+g AS (SELECT sender_id, seq, k AS syncs, n AS unsynced, c AS checkpoints, m AS uncheckpointed FROM f WHERE rn > 0)"""
 
 QUERIES = {
     "ref_group_sync_full": (group_sync_full, f"{SYNC_SQL} SELECT sender_id, seq, CAST(k AS BIGINT) AS syncs, CAST(n AS BIGINT) AS unsynced FROM f"),
     "ref_ack_checkpoint": (ack_checkpoint, f"{CHECKPOINT_SQL} SELECT sender_id, seq, CAST(k AS BIGINT) AS checkpoints, CAST(n AS BIGINT) AS uncheckpointed FROM f"),
     "ref_loss_window": (loss_window, f"{SYNC_SQL} {_WINDOW}"),
     "ref_replay_window": (replay_window, f"{CHECKPOINT_SQL} {_WINDOW}"),
-    "ref_group_policy": (group_policy, None),
+    "ref_group_policy": (group_policy, f"{POLICY_SQL} SELECT * FROM g"),
+    "ref_durable_policy": (
+        durable_policy,
+        """SELECT user_id AS sender_id, event_id AS seq, count(*) FILTER (event_type IN ('click', 'view', 'signup')) OVER w AS syncs, CAST(0 AS BIGINT) AS unsynced,
+        count(*) FILTER (event_type NOT IN ('click', 'view', 'signup')) OVER w AS checkpoints, CAST(0 AS BIGINT) AS uncheckpointed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    ),
+    "ref_policy_flush": (
+        policy_flush,
+        f"{POLICY_SQL} SELECT sender_id, syncs + CASE WHEN unsynced > 0 THEN 1 ELSE 0 END AS syncs, checkpoints + CASE WHEN uncheckpointed > 0 THEN 1 ELSE 0 END AS checkpoints, unsynced AS synced_last, uncheckpointed AS checkpointed_last FROM g QUALIFY row_number() OVER (PARTITION BY sender_id ORDER BY seq DESC) = 1",
+    ),
     "ref_fast_spill": (
         fast_spill,
         f"""WITH RECURSIVE {MESSAGES_SQL},
@@ -151,5 +226,15 @@ QUERIES = {
           FROM f JOIN j ON j.sender_id = f.sender_id AND j.rn = f.rn + 1)
         SELECT sender_id, x.seq AS seq, x.id AS message_id FROM (SELECT sender_id, unnest(q) AS x FROM (SELECT sender_id, arg_max(q, rn) AS q FROM f GROUP BY 1))""",
     ),
+    "ref_journal_text": (
+        journal_text,
+        f"""WITH {MESSAGES_SQL}, j AS (SELECT *, seq % 13 IN (5, 6, 7) AS bad FROM e)
+        SELECT sender_id, seq, CASE WHEN bad THEN 'corrupt' ELSE 'enqueue' END AS op, CASE WHEN NOT bad THEN message_id END AS message_id, CASE WHEN NOT bad THEN encoded END AS encoded FROM j
+        UNION ALL SELECT sender_id, seq + 1000000000000, 'ack', message_id, NULL FROM j WHERE NOT bad QUALIFY row_number() OVER (PARTITION BY sender_id ORDER BY seq) <= 3""",
+    ),
+    "ref_journal_migration": (
+        journal_migration,
+        f"WITH {MESSAGES_SQL} SELECT sender_id, seq, message_id, encoded FROM e WHERE seq % 13 NOT IN (5, 6, 7) QUALIFY row_number() OVER (PARTITION BY sender_id ORDER BY seq) > 3",
+    ),
     "ref_delivery": (delivery, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.codec import canonical_json, encode_message, record_size
+from tidelog.functions.codec import encode_message, record_size, with_canonical
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a canonical payload, their canonical text and its size in the log."""
-    m = messages(spark, sf_dir).withColumn("payload_json", canonical_json(F.col("payload_json")))
+    m = with_canonical(messages(spark, sf_dir), "payload_json")
     e = m.withColumn("encoded", encode_message(F.col("message_id"), F.col("topic"), F.col("payload_json")))
     return e.withColumn("frame_size", record_size(F.col("encoded")))
 

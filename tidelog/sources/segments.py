@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.codec import decode_rows
+from tidelog.operators.log import at_or_after
+
 #: Fixed by the file format.
 SEGMENT_MAGIC, RECORD_MAGIC = b"RLMQSEG1", b"MSG1"
 SEGMENT_FORMAT, RECORD_FORMAT = struct.Struct(">8sQ"), struct.Struct(">4sII")
@@ -70,22 +73,58 @@ def walk(number: int, data: bytes, last: bool) -> Iterator[tuple]:
         at = end
 
 
-def read_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of every segment of ``folder``, and a row for each damage."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "segment-*.dat").load(folder)
-    numbered = files.select(F.regexp_extract("path", FILE_NAME, 1).cast("long").alias("number"), "content").where("number IS NOT NULL")
-    newest = files.select(F.regexp_extract("path", FILE_NAME, 1).cast("long").alias("n")).agg(F.max("n")).first()[0]
+def frames_of(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every record of the segments ``files`` (keys, number, content, newest), and a row for each damage."""
+    names, kinds = [x.split()[0] for x in FRAMES.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    own = "".join(f"`{k}` {dict(files.dtypes)[k]}, " for k in keys)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in FRAMES.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for number, content in zip(batch.column("number").to_pylist(), batch.column("content")):
-                rows = list(walk(number, content.as_py(), number == newest))
-                columns = zip(*rows) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, columns)})
+            for i, (number, newest) in enumerate(zip(batch.column("number").to_pylist(), batch.column("newest").to_pylist())):
+                rows = list(walk(number, batch.column("content")[i].as_py(), newest))
+                if rows:
+                    at = pa.array([i] * len(rows), pa.int64())
+                    yield pa.RecordBatch.from_pydict({k: batch.column(k).take(at) for k in keys} | {n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows))})
+
+    return files.select(*keys, "number", "content", "newest").mapInArrow(frames, own + FRAMES)
 
-    return numbered.mapInArrow(frames, FRAMES)
+
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of every segment of ``folder``, and a row for each damage."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "segment-*.dat").load(folder)
+    number = F.regexp_extract("path", FILE_NAME, 1)
+    files = files.select(F.when(number != "", number).cast("long").alias("number"), "content").where("number IS NOT NULL")
+    newest = files.agg(F.max("number")).first()[0]
+    return frames_of(files.withColumn("newest", F.col("number") == F.lit(newest).cast("long")))
+
+
+def recovered(frames: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a scan of segments brings back: the sound rows at or after their sender's cursor, and a report per sender.
+
+    ``frames`` as ``frames_of`` by ``sender_id``, ``cursors`` (sender_id, segment_id,
+    byte_offset). The report has records, replayed, error (the first damage that is none of an
+    unfinished write), torn, duplicates (ids found more than once) and missing (closed segments
+    that are not there, from the cursor's or the first on); a log is sound if error is null and
+    duplicates and missing are 0.
+    """
+    found = decode_rows(frames, F.col("encoded")).select(*frames.columns, "d.message_id", "d.ok")
+    marks = cursors.select("sender_id", F.col("segment_id").alias("at_segment"), F.col("byte_offset").alias("at_offset"))
+    rows = found.join(marks, "sender_id", "left")
+    after = F.col("at_segment").isNull() | at_or_after(F.col("segment_id"), F.col("start_offset"), F.col("at_segment"), F.col("at_offset"))
+    sound = F.col("error").isNull() & F.col("ok")
+    bad = F.when(F.col("error") != "torn", F.col("error")).when(F.col("error").isNull() & ~F.col("ok"), F.lit("envelope"))
+    first_bad = F.min(F.when(bad.isNotNull(), F.struct("segment_id", "start_offset", bad.alias("error"))))
+    each = rows.groupBy("sender_id", "segment_id").agg(
+        F.count_if(sound).alias("records"), F.count_if(sound & after).alias("replayed"), first_bad.alias("bad"), F.max(F.coalesce(F.col("error") == "torn", F.lit(False))).alias("torn"), F.min("at_segment").alias("at_segment"),
+    )
+    inner = F.col("segment_id") >= F.coalesce("at_segment", F.lit(0))
+    report = each.groupBy("sender_id").agg(
+        F.sum("records").alias("records"), F.sum("replayed").alias("replayed"), F.min("bad").alias("bad"), F.max("torn").alias("torn"),
+        F.greatest(F.max("segment_id") - F.coalesce(F.min("at_segment"), F.min("segment_id")) + 1 - F.count_if(inner), F.lit(0)).alias("missing"),
+    )
+    copies = rows.where(sound & after).groupBy("sender_id", "message_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("sender_id").agg(F.count(F.lit(1)).alias("duplicates"))
+    report = report.join(copies, "sender_id", "left").select("sender_id", "records", "replayed", F.col("bad.error").alias("error"), "torn", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "missing")
+    return rows.where(sound & after).select("sender_id", "segment_id", "start_offset", "end_offset", "message_id", "encoded"), report
 
 
 def missing_segments(frames: DataFrame, first: int) -> DataFrame:
