@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidelog.llm.quality_rules import SYMBOLS, WINDOW, fit_mcd, quality_rules
+from tidelog.llm.quality_rules import FLOORS, SYMBOLS, WINDOW, fit_mcd, quality_rules
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -55,5 +55,46 @@ def test_estimate_ignores_a_fifth_of_outliers(spark):
     assert np.abs(centre).max() < 0.2
 
 
+def brute_mcd(x, support=0.75, widen=1.3, starts=400, seed=1):
+    """Least log determinant over many random starts of six rows, each concentrated until it stands still."""
+    draw, best, floor = np.random.default_rng(seed), np.inf, np.square(FLOORS)
+    for _ in range(starts):
+        kept = x[draw.choice(len(x), 6, replace=False)]
+        for _ in range(30):
+            c, cov = kept.mean(axis=0), np.cov(kept.T, bias=True) * widen**2
+            cov[np.diag_indices(5)] += np.maximum(0, floor - np.diag(cov)) + 0.01 * floor
+            d2 = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(cov), x - c)
+            now = x[d2 <= np.sort(d2)[int(np.ceil(support * len(x))) - 1]]
+            if len(now) == len(kept) and (now == kept).all():
+                break
+            kept = now
+        best = min(best, np.linalg.slogdet(cov)[1])
+    return best
+
+
+def test_estimates_are_as_good_as_brute_force(spark):
+    draw = np.random.default_rng(6)
+    parts, want = [], {}
+    for g in range(4):
+        shape = draw.normal(0, 2, (5, 5))
+        x = draw.normal(0, 1, (240, 5)) @ shape
+        x[: 40 + 10 * g] = draw.normal(0, 1, (40 + 10 * g, 5)) * 0.7 + draw.normal(0, 12, 5)  # a tight group of outliers
+        parts += [(f"g{g}", *map(float, r)) for r in x]
+        want[f"g{g}"] = brute_mcd(x)
+    rows = spark.createDataFrame(parts, "key string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r["key"]: r["log_det"] for r in fit_mcd(rows).collect()}
+    assert got.keys() == want.keys() and all(got[k] <= want[k] + 0.1 for k in want), (got, want)
+
+
+def test_names_with_bars_are_groups_of_their_own_and_long_texts_fit(spark):
+    pick = random.Random(3)
+    text = lambda k: " ".join(pick.choices(WORDS, k=k))
+    rows = [(i, "a|b", "c", text(pick.randrange(60, 120))) for i in range(250)] + [(1000 + i, "a", "b|c", text(pick.randrange(2000, 4000))) for i in range(250)]
+    rows.append((5000, "a", "b|c", text(200_000)))
+    out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert out[5000]["n_words"] == 200_000
+    assert np.mean([out[i]["kept"] for i, *_ in rows[:-1]]) > 0.97
+
+
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, lang string, source string, text string")).count() == 0

@@ -3,18 +3,22 @@
 A minimum covariance determinant estimate is fitted for each language and source over all
 documents by distributed concentration steps: distances to the current centre, the quantile of
 them that keeps ``support`` of the rows, then means and covariances of the kept rows, each one
-partial aggregation. Documents far from their group's estimate by Mahalanobis distance are
+partial aggregation. A step never makes the determinant larger, but may end in a local minimum, so
+``STARTS`` begin from different rows, and after two steps the one of the smallest determinant goes
+on. Documents far from their group's estimate by Mahalanobis distance are
 rejected. Groups of fewer than ``min_group`` rows (null language or source is a value of its
 own) are pooled; a pool that is still smaller rejects nothing.
 
-Null and empty texts have no words and fail the base rule. Repeated rows are each judged. Extra
-input columns are not carried. Ties at the quantile are kept together. A statistic that is
+Null and empty texts have no words and fail the base rule. A text of any length is one row of a
+few numbers once it is counted. Repeated rows are each judged. An empty table gives an empty
+table. Extra input columns are not carried. Ties at the quantile are kept together. A statistic that is
 constant in a group has its variance floored, so no covariance is singular.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -117,8 +121,12 @@ P = len(FLOORS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
+#: The rows that a start begins from: those within two quantiles of each statistic, or a third of them by hash.
+STARTS = ((0.1, 0.9), (0.25, 0.75), None)
+
+
 def _estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre and whitening matrix of each group from its sums; a group is one row."""
+    """Centre, whitening matrix and logarithm of the determinant of each group from its sums; a group is one row."""
     for f in frames:
         rows = []
         for r in f.itertuples(index=False):
@@ -130,8 +138,8 @@ def _estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             floor = np.square(FLOORS)
             cov[np.diag_indices(P)] += np.maximum(0, floor - np.diag(cov)) + 0.01 * floor
             w = np.linalg.inv(np.linalg.cholesky(cov))
-            rows.append((r.key, s.tolist(), w.ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["key", "centre", "white"])
+            rows.append((r.key, r.start, s.tolist(), w.ravel().tolist(), -2 * np.log(np.diag(w)).sum()))
+        yield pd.DataFrame(rows, columns=["key", "start", "centre", "white", "log_det"])
 
 
 def distance() -> Column:
@@ -145,30 +153,37 @@ def distance() -> Column:
     return total
 
 
-def fit_mcd(rows: DataFrame, support: float = 0.75, steps: int = 5, widen: float = 1.3, max_broadcast: int = 20_000) -> DataFrame:
-    """(key, centre, white) of every ``key`` of ``rows`` (key, x0..), by concentration steps.
+def fit_mcd(rows: DataFrame, support: float = 0.75, steps: int = 6, widen: float = 1.3, max_broadcast: int = 20_000) -> DataFrame:
+    """(key, centre, white, log_det) of every ``key`` of ``rows`` (key, x0..), by concentration steps.
 
-    The first step starts from the rows around the median of each statistic. ``widen`` scales
-    the deviations of the kept rows up to those of all rows. The estimates, a row per group,
-    are broadcast while they are ``max_broadcast`` at most and joined by a shuffle otherwise.
+    ``widen`` scales the deviations of the kept rows up to those of all rows. The estimates, a row
+    per group, are broadcast while they are ``max_broadcast`` at most and joined by a shuffle
+    otherwise.
     """
     groups = rows.select("key").distinct().count()
     small = (lambda d: F.broadcast(d)) if groups <= max_broadcast else (lambda d: d)
     sums = [F.count(F.lit(1)).alias("n"), F.lit(widen).alias("widen"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS)]
-    schema = "key string, centre array<double>, white array<double>"
-    middle = rows.groupBy("key").agg(*(F.percentile_approx(f"x{i}", [0.1, 0.9], 200).alias(f"m{i}") for i in range(P)))
-    inside = F.lit(True)
-    for i in range(P):
-        inside = inside & F.col(f"x{i}").between(F.col(f"m{i}")[0], F.col(f"m{i}")[1])
-    kept = rows.join(small(save(middle, "mcd-start")), "key").where(inside)
-    estimate = save(kept.groupBy("key").agg(*sums).mapInPandas(_estimate, schema), "mcd")
-    for _ in range(steps):
-        far = rows.join(small(estimate), "key").withColumn("d2", distance())
-        limit = save(far.groupBy("key").agg(F.percentile_approx("d2", support, 1000).alias("limit")), "mcd-limit")
-        kept = far.join(small(limit), "key").where(F.col("d2") <= F.col("limit"))
-        now = save(kept.groupBy("key").agg(*sums).mapInPandas(_estimate, schema), "mcd")
-        drop(estimate), drop(limit)
+    schema = "key string, start int, centre array<double>, white array<double>, log_det double"
+    estimated = lambda kept: save(kept.groupBy("key", "start").agg(*sums).mapInPandas(_estimate, schema), "mcd")
+
+    edges = sorted({q for s in STARTS if s for q in s})
+    middle = save(rows.groupBy("key").agg(*(F.percentile_approx(f"x{i}", edges, 200).alias(f"m{i}") for i in range(P))), "mcd-start")
+    within = lambda s: reduce(lambda a, b: a & b, [F.col(f"x{i}").between(*(F.col(f"m{i}")[edges.index(q)] for q in s)) for i in range(P)])
+    third = F.pmod(F.xxhash64(*(f"x{i}" for i in range(P))), F.lit(3)) == 0
+    begins = F.array_compact(F.array(*(F.when(within(s) if s else third, F.lit(k)) for k, s in enumerate(STARTS))))
+    x = [f"x{i}" for i in range(P)]
+    estimate = estimated(rows.join(small(middle), "key").select("key", *x, F.explode(begins).alias("start")))
+    drop(middle)
+    for step in range(steps):
+        far = rows.select("key", *x).join(small(estimate), "key").withColumn("d2", distance())
+        limit = save(far.groupBy("key", "start").agg(F.percentile_approx("d2", support, 1000).alias("limit")), "mcd-limit")
+        now = estimated(far.join(small(limit), ["key", "start"]).where(F.col("d2") <= F.col("limit")).select("key", "start", *x))
+        drop(estimate, limit)
         estimate = now
+        if step == 1:
+            best = save(now.groupBy("key").agg(F.min_by(F.struct("start", "centre", "white", "log_det"), F.struct("log_det", "start")).alias("e")).select("key", "e.*"), "mcd")
+            drop(now)
+            estimate = best
     return estimate
 
 
@@ -179,7 +194,8 @@ def quality_rules(docs: DataFrame, min_group: int = 200, cutoff: float = CUTOFF)
     Mahalanobis distance, null where nothing was fitted.
     """
     stats = save(text_statistics(docs).withColumn("base_failed", base_failed()).select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "text-statistics")
-    name = F.concat_ws("|", F.coalesce("lang", F.lit("\u0000")), F.coalesce("source", F.lit("\u0000")))
+    sized = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-"))  # noqa: E731  # no two pairs have one name
+    name = F.concat(sized("lang"), F.lit("|"), sized("source"))
     large = stats.where(~F.col("base_failed")).groupBy(name.alias("key")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_group)
     large = save(large, "mcd-groups")
     n_large = large.count()
