@@ -9,20 +9,20 @@ from tidelog.errors import ProtocolError
 from tidelog.functions.codec import canonical_json, canonical_text, decode, encode_ack, encode_delivery, encode_message, parse_strict, record_size
 from tidelog.functions.validity import missing_keys, suback_granted, valid_id, valid_topic
 
-GOOD = '{"event_id":"event-001","payload":{"a":"temperature","z":[1,true,null]},"topic":"factory/line/data","version":1}'
+GOOD = '{"event_id":"msg_7f","payload":{"b":"kPa","y":[0,false,null]},"topic":"site/press/4","version":1}'
 BAD = {
-    "{not-json}": "not_json", "not-json": "not_json", "[]": "not_object", '{"version":1}': "missing_key",
+    "{oops}": "not_json", "oops": "not_json", "[]": "not_object", '{"version":1}': "missing_key",
     '{"version":1,"event_id":"a","event_id":"b","topic":"t","payload":1}': "duplicate_key",
     GOOD.replace('"version":1', '"version":1,"ok":true'): "extra_key",
-    GOOD.replace("event-001", "bad id"): "id", GOOD.replace("event-001", "x" * 129): "id", GOOD.replace('"event-001"', "null"): "id", GOOD.replace("event-001", "a\\n"): "id",
+    GOOD.replace("msg_7f", "no good"): "id", GOOD.replace("msg_7f", "x" * 129): "id", GOOD.replace('"msg_7f"', "null"): "id", GOOD.replace("msg_7f", "a\\n"): "id",
     GOOD.replace('"version":1', '"version":2'): "version", GOOD.replace('"version":1', '"version":true'): "version",
     GOOD.replace('"version":1', '"version":1.0'): "version", GOOD.replace('"version":1', '"version":"1"'): "version",
-    GOOD.replace("factory/line/data", ""): "topic", GOOD.replace("factory/line/data", "factory/+"): "topic", GOOD.replace("factory/line/data", "factory/#"): "topic",
-    GOOD.replace("factory/line/data", "a\\u0000b"): "topic", GOOD.replace("[1,true,null]", "NaN"): "not_finite", GOOD.replace("[1,true,null]", "1e400"): "not_finite",
-    GOOD.replace("[1,true,null]", "Infinity"): "not_finite", GOOD.replace("[1,true,null]", '"\\ud800"'): "payload", GOOD + " x": "not_json",
+    GOOD.replace("site/press/4", ""): "topic", GOOD.replace("site/press/4", "site/+/x"): "topic", GOOD.replace("site/press/4", "site/#"): "topic",
+    GOOD.replace("site/press/4", "a\\u0000b"): "topic", GOOD.replace("[0,false,null]", "NaN"): "not_finite", GOOD.replace("[0,false,null]", "1e400"): "not_finite",
+    GOOD.replace("[0,false,null]", "Infinity"): "not_finite", GOOD.replace("[0,false,null]", '"\\ud800"'): "payload", GOOD + " x": "not_json",
 }
 SAME = [
-    GOOD, GOOD.replace(",", ", "), GOOD.replace('"z"', '"ü"'), '{"version":1,"topic":"t","payload":null,"event_id":"a"}',
+    GOOD, GOOD.replace(",", ", "), GOOD.replace('"y"', '"ü"'), '{"version":1,"topic":"t","payload":null,"event_id":"a"}',
     '{"event_id":"a","payload":{"topic":"x","version":1},"topic":"t","version":1}', '{"event_id":"a","payload":"\\"q\\\\\\u001f","topic":"t","version":1}',
     '{"event_id":"a","payload":123456789012345678901234567890,"topic":"t","version":1}', '{"event_id":"a","payload":[1.0,-0.0,1e16,1.5E-7],"topic":"t","version":1}',
     '{"event_id":"a","payload":{"ﬁ":1,"\U0001f600":2},"topic":"t","version":1}', '{"event_id":"a","payload":"it\'s","topic":"it\'s","version":1}',
@@ -48,9 +48,9 @@ def test_good_texts_decode_to_canonical_payloads(spark):
 
 
 def test_deliveries_and_acks(spark):
-    assert decoded(spark, ['{"event_id":"same-id","payload":[1,2,3],"version":1}'], "delivery")[0]["payload_json"] == "[1,2,3]"
-    got = decoded(spark, ['{"event_id":"ack-id","version":1}', '{"version": 1, "event_id": "ack-id"}', '{"version":1,"event_id":"ack-id","ok":true}', '{"version":1,"event_id":"bad id"}', '{"version":1}'], "ack")
-    assert [d["error"] for d in got] == [None, None, "extra_key", "id", "missing_key"] and got[1]["message_id"] == "ack-id"
+    assert decoded(spark, ['{"event_id":"twin","payload":[7,8],"version":1}'], "delivery")[0]["payload_json"] == "[7,8]"
+    got = decoded(spark, ['{"event_id":"done-1","version":1}', '{"version": 1, "event_id": "done-1"}', '{"version":1,"event_id":"done-1","ok":true}', '{"version":1,"event_id":"no good"}', '{"version":1}'], "ack")
+    assert [d["error"] for d in got] == [None, None, "extra_key", "id", "missing_key"] and got[1]["message_id"] == "done-1"
 
 
 def test_bytes_that_are_not_utf8(spark):
@@ -61,10 +61,10 @@ def test_bytes_that_are_not_utf8(spark):
 
 def test_encoding_round_trips(spark):
     row = spark.range(1).select(
-        encode_message(F.lit("event-001"), F.lit("factory/line/data"), canonical_json(F.lit('{"z":[1,true,null], "a":"temperature"}'))).alias("m"),
-        encode_delivery(F.lit("same-id"), F.lit("[1,2,3]")).alias("d"), encode_ack(F.lit("ack-id")).alias("a"),
+        encode_message(F.lit("msg_7f"), F.lit("site/press/4"), canonical_json(F.lit('{"y":[0,false,null], "b":"kPa"}'))).alias("m"),
+        encode_delivery(F.lit("twin"), F.lit("[7,8]")).alias("d"), encode_ack(F.lit("done-1")).alias("a"),
     ).withColumn("n", record_size(F.col("m"))).first()
-    assert row["m"] == GOOD and row["d"] == '{"event_id":"same-id","payload":[1,2,3],"version":1}' and row["a"] == '{"event_id":"ack-id","version":1}'
+    assert row["m"] == GOOD and row["d"] == '{"event_id":"twin","payload":[7,8],"version":1}' and row["a"] == '{"event_id":"done-1","version":1}'
     assert row["n"] == len(GOOD) + 12
 
 
