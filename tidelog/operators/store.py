@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.config import LogLimits
 from tidelog.errors import LogError
-from tidelog.functions.codec import record_size
+from tidelog.functions.codec import canonical_json, canonical_text, record_size
 from tidelog.operators.folds import RotationOn, ordered_fold
 from tidelog.operators.log import append_verdicts, conservative_cursors, dedup_batch, heads, retention, segment_stats
 from tidelog.session import drop, save
@@ -142,3 +142,8 @@ def compact(placed: DataFrame, pending: DataFrame, cursors: DataFrame) -> tuple[
     gone = retention(segment_stats(placed), now).select("sender_id", "segment_id")
     texts = now.select("sender_id", encode_cursor(F.col("generation"), F.col("segment_id"), F.col("byte_offset")).alias("text"))
     return texts, placed.join(gone, ["sender_id", "segment_id"], "left_anti")
+
+
+def valid_format(text: Column, name: str, version: int = 1) -> Column:
+    """True for the metadata of a log of this format: exactly ``format`` and ``version``, in any order and spacing."""
+    return F.coalesce(canonical_json(text) == F.lit(canonical_text({"format": name, "version": version})), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.codec import decode_rows, encode_ack
 from tidelog.operators import acks
 from tidelog.plans.views import MESSAGES_SQL, ORDERS_SQL, encoded_messages, messages, order_deliveries, order_messages
 
@@ -44,6 +45,17 @@ def ack_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("l_returnflag", "kind").agg(F.count(F.lit(1)).alias("acks"))
 
 
+def ack_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements as wire texts, a seventh of them damaged; those that decode are classified against the attempts of their ids."""
+    wire = order_deliveries(spark, sf_dir).select(
+        F.when(F.col("l_partkey") % 7 == 0, F.concat(encode_ack(F.col("message_id")), F.lit("!"))).otherwise(encode_ack(F.col("message_id"))).alias("value"), F.col("l_shipdate").alias("acked")
+    )
+    decoded = decode_rows(wire, F.col("value"), "ack")
+    attempts = order_messages(spark, sf_dir).where("seq % 20 <> 0").select("message_id", "started")
+    sound = acks.classify_acks(attempts, decoded.where("d.ok").select("d.message_id", "acked"), F.expr("INTERVAL 60 DAYS")).select("kind")
+    return sound.unionByName(decoded.where("NOT d.ok").select(F.col("d.error").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("acks"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = acks.attempt_numbers(order_deliveries(spark, sf_dir), TOTAL)
     return rows.select("message_id", "attempt", "is_last", F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("status"))
@@ -104,6 +116,11 @@ QUERIES = {
         f"""WITH {ORDERS_SQL} SELECT l_returnflag, CASE WHEN started IS NULL THEN 'unmatched' WHEN l_shipdate < started THEN 'early' WHEN l_shipdate < started + INTERVAL 60 DAY THEN 'valid' ELSE 'late' END AS kind, count(*) AS acks
         FROM od LEFT JOIN (SELECT * FROM om WHERE seq % 20 <> 0) USING (message_id) GROUP BY 1, 2""",
     ),
+    "ref_ack_intake": (
+        ack_intake,
+        f"""WITH {ORDERS_SQL} SELECT CASE WHEN l_partkey % 7 = 0 THEN 'not_json' WHEN started IS NULL THEN 'unmatched' WHEN l_shipdate < started THEN 'early' WHEN l_shipdate < started + INTERVAL 60 DAY THEN 'valid' ELSE 'late' END AS kind, count(*) AS acks
+        FROM od LEFT JOIN (SELECT * FROM om WHERE seq % 20 <> 0) USING (message_id) GROUP BY 1""",
+    ),
     "ref_attempts": (attempts, f"WITH {ORDERS_SQL} SELECT message_id, row_number() OVER w AS attempt, lead(true) OVER w IS NULL AS is_last, l_linenumber AS line, l_linestatus AS status FROM od WINDOW w AS (PARTITION BY message_id ORDER BY {_TOTAL})"),
     "ref_attempt_summary": (attempt_summary, f"WITH {ORDERS_SQL} SELECT message_id, count(*) AS attempts, count(*) - 1 AS duplicates, arg_max(l_linestatus, ({_TOTAL})) AS last_status FROM od GROUP BY 1"),
     "ref_status_mix": (status_mix, "SELECT CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'P' THEN 'not_ready' ELSE 'retry' END AS status, count(*) AS messages FROM orders GROUP BY 1"),

@@ -172,6 +172,14 @@ def cursor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("c", store.decode_cursor(text)).select("k", F.col("c").isNotNull().alias("sound"), "c.generation", "c.segment_id", "c.byte_offset")
 
 
+def format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format metadata as texts: in two spellings, of another version, with a key too many, cut off."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    texts = ['{"format":"log","version":1}', '{ "version": 1,\n "format": "log" }', '{"format":"log","version":2}', '{"format":"log","version":1,"x":0}', '{"format":"log","version":1', '{"format":"log","version":1.0}']
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("k") % len(texts) + 1).cast("int"))
+    return o.select("k", store.valid_format(text, "log").alias("valid"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = segments.segment_files(placed(spark, sf_dir)).withColumnRenamed("segment_id", "number")
     newest = files.groupBy("sender_id").agg(F.max("number").alias("last"))
@@ -269,6 +277,7 @@ QUERIES = {
         cursor_text,
         "SELECT o_orderkey AS k, k % 8 < 2 AS sound, CASE WHEN k % 8 < 2 THEN k END AS generation, CASE WHEN k % 8 < 2 THEN k + 1 END AS segment_id, CASE WHEN k % 8 < 2 THEN k + 2 END AS byte_offset FROM orders",
     ),
+    "ref_format_check": (format_check, "SELECT o_orderkey AS k, o_orderkey % 6 < 2 AS valid FROM orders"),
     "ref_segment_scan": (segment_scan, f"{PLACED_SQL} SELECT sender_id, segment_id, start_offset, end_offset, encoded, CAST(NULL AS VARCHAR) AS error FROM p"),
     "ref_recovery_scan": (
         recovery_scan,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.codec import decode_rows, encode_ack, encode_delivery
 from tidelog.functions.validity import missing_keys, suback_granted, valid_id, valid_topic
+from tidelog.operators.intake import intake
 from tidelog.operators.relay import forward
 from tidelog.plans.views import MESSAGES_SQL, encoded_messages, messages, table
 from tidelog.sources.segments import frame, segment_name
@@ -17,6 +18,17 @@ def encode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("sender_id", "seq", "message_id", "encoded", F.octet_length("encoded").cast("long").alias("encoded_size"), "frame_size")
 
 
+def intake_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as they are handed in: a quarter without an id, some with a bad id, topic or payload."""
+    m = messages(spark, sf_dir).select(
+        "sender_id", "seq",
+        F.when(F.col("seq") % 4 == 0, F.lit(None)).when(F.col("seq") % 10 == 3, F.concat(F.col("message_id"), F.lit(" "))).otherwise(F.col("message_id")).alias("message_id"),
+        F.when(F.col("seq") % 10 == 5, F.concat("topic", F.lit("/#"))).otherwise(F.col("topic")).alias("topic"),
+        F.when(F.col("seq") % 10 == 7, F.concat("payload_json", F.lit("}"))).otherwise(F.col("payload_json")).alias("payload_json"),
+    )
+    return intake(m, ["sender_id", "seq"]).select("seq", "message_id", "error", "encoded")
+
+
 def encode_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_messages(spark, sf_dir).select("message_id", encode_delivery(F.col("message_id"), F.col("payload_json")).alias("encoded"))
 
@@ -102,6 +114,13 @@ def record_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "ref_intake": (
+        intake_messages,
+        f"""WITH {MESSAGES_SQL}, i AS (
+          SELECT seq, CASE WHEN seq % 4 = 0 THEN 'gen-' || md5(sender_id || '/' || seq) WHEN seq % 10 = 3 THEN message_id || ' ' ELSE message_id END AS message_id, topic, payload_json,
+            CASE WHEN seq % 10 = 3 AND seq % 4 <> 0 THEN 'id' WHEN seq % 10 = 5 THEN 'topic' WHEN seq % 10 = 7 THEN 'payload' END AS error FROM e)
+        SELECT seq, message_id, error, CASE WHEN error IS NULL THEN '{{"event_id":"' || message_id || '","payload":' || payload_json || ',"topic":"' || topic || '","version":1}}' END AS encoded FROM i""",
+    ),
     "ref_encode_message": (encode_messages, f"WITH {MESSAGES_SQL} SELECT sender_id, seq, message_id, encoded, CAST(strlen(encoded) AS BIGINT) AS encoded_size, frame_size FROM e"),
     "ref_encode_delivery": (encode_deliveries, f"""WITH {MESSAGES_SQL} SELECT message_id, '{{"event_id":"' || message_id || '","payload":' || payload_json || ',"version":1}}' AS encoded FROM e"""),
     "ref_encode_ack": (encode_acks, """SELECT 'evt-' || event_id AS message_id, '{"event_id":"evt-' || event_id || '","version":1}' AS encoded FROM events"""),

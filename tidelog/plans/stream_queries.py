@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.codec import canonical_json, encode_message, record_size
+from tidelog.functions.codec import canonical_json, decode, encode_ack, encode_message, record_size
 from tidelog.operators.folds import Delivery, GroupSync, Rotation, SeenSet
 from tidelog.operators.relay import relay_batch
 from tidelog.plans import log_queries, policy_queries
@@ -88,12 +88,23 @@ def stream_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.groupBy("message_id").agg(F.count(F.lit(1)).alias("deliveries")).join(acked, "message_id", "left").select("message_id", "deliveries", F.coalesce("acks", F.lit(0)).alias("acks"))
 
 
+def stream_ack_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire acknowledgements of every third message as a stream of their own, decoded and joined with the messages they answer in time."""
+    sent = _events(spark, sf_dir).select("message_id", "seq", "ts").withWatermark("ts", "60 days")
+    e = stream_table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    wire = e.select(encode_ack(F.concat(F.lit("evt-"), F.col("event_id"))).alias("value"), (F.col("ts").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, event_id % 4)")).alias("acked"))
+    acks = wire.select(decode(F.col("value"), "ack").alias("d"), "acked").where("d.ok").select(F.col("d.message_id").alias("ack_id"), "acked").withWatermark("acked", "60 days")
+    in_time = (F.col("message_id") == F.col("ack_id")) & (F.col("acked") >= F.col("ts")) & (F.col("acked") < F.col("ts") + F.expr("INTERVAL 2 HOURS"))
+    return run_to_table(sent.join(acks, in_time).select("seq", "message_id"), "stream-acks")
+
+
 QUERIES = {
     "stream_dedup": (stream_dedup, "SELECT DISTINCT 'events/' || event_type || '/' || user_id AS message_id FROM events"),
     "stream_segment_assign": (stream_segments, log_queries.QUERIES["ref_segment_assign"][1]),
     "stream_group_sync": (stream_group_sync, policy_queries.QUERIES["ref_group_sync_full"][1]),
     "stream_lru_dedup": (stream_lru_dedup, policy_queries.QUERIES["ref_lru_dedup"][1]),
     "stream_pending_count": (stream_pending_count, "SELECT user_id AS sender_id, count(*) AS pending FROM events GROUP BY 1"),
+    "stream_ack_join": (stream_ack_join, "SELECT event_id AS seq, 'evt-' || event_id AS message_id FROM events WHERE event_id % 3 = 0 AND event_id % 4 < 2"),
     "stream_delivery": (stream_delivery, None),
     "stream_relay": (
         stream_relay,

@@ -2,7 +2,8 @@
 
 A stream is read, run with ``availableNow`` into a table of the shared folder, and read back. An
 ordered fold runs as a stateful processor with the same fold class: its state is one value per
-key, and the rows of a key are taken in order within a micro-batch.
+key. The rows of a key in one micro-batch are put in order together, so a micro-batch is bounded:
+a stream takes ``FILES`` files at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidelog.operators.folds import Fold
 from tidelog.session import shared_dir
 
+FILES = 64
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,7 +30,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    reader = spark.readStream.schema(batch.schema)
+    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES)
     return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
@@ -35,7 +38,13 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     """All that is available now, written to a table of the shared folder and read back."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows")
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # read when a query starts; stateful processors need it
+    try:
+        query = writer.start(f"{base}/rows")
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
@@ -68,7 +77,6 @@ class _FoldProcessor(StatefulProcessor):
 
 def stream_fold(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Fold]) -> DataFrame:
     """The streaming form of ``ordered_fold``; rows of a key must arrive in order over micro-batches."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     added = ", ".join(f"{c} {t}" for c, t in make().adds.items())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", " + added
     return stream.groupBy(*keys).transformWithStateInPandas(_FoldProcessor(make, stream.columns, order), outputStructType=schema, outputMode="Append", timeMode="None")
