@@ -45,7 +45,7 @@ from tidelog.session import drop, save
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of a bucket that are compared with one another in one piece.
-BLOCK = 512
+BLOCK = 2048
 #: Of the stage: words of a shingle, minimum hashes under the masks, bins of a sketch, least share of equal bins, sketches compared in one piece.
 WIDE, COORDINATES, BINS, SIMILAR, SKETCHES = 5, 8, 256, 0.8, 2048
 
