@@ -9,7 +9,9 @@ Labels are learned from at most about ``max_rows`` labelled rows that are not he
 ``bounded_labels``); every document is scored. Null and empty texts have the statistics of no
 words and are scored like any other. Repeated rows are each scored. Null ids are scored and
 never learned from. Without any label, or with one label value only, every score is that value's
-share (0.5 without labels). Extra input columns are not carried.
+share (0.5 without labels). A text of any length is one row of ``N_STATS`` numbers. An empty table
+gives an empty table. Extra input columns are not carried by the query; the stage carries them
+whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ sections are counted in a section of null, so the counts of a document always ad
 tokens of its whole text.
 
 Null and empty texts have one empty section with no tokens. Repeated rows and null ids are each
-counted. An empty table gives an empty table. Extra input columns are not carried.
+counted. A text of any length is encoded whole, in one piece. An empty table gives an empty table.
+Extra input columns are not carried.
 """
 
 from __future__ import annotations
