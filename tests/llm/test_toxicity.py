@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidelog.llm.toxicity import ChainCRF, Emissions, chain_features, context, forward_backward, score_toxicity
+from tidelog.llm.toxicity import BEGINS, ENDS, SLOTS, ChainCRF, Emissions, chain_features, forward_backward, plain, score_toxicity
 from pyspark.sql import functions as F
 
 WORDS = [f"word{i}" for i in range(300)]
@@ -91,16 +91,27 @@ def test_long_sequences_are_exact_by_a_plain_recursion():
 
 
 def test_emissions_are_sums_over_own_and_neighbouring_features():
-    tokens, sizes = "Vile words, here Vile a".split(), np.array([2, 0, 3])
-    draw = np.random.default_rng(1)
-    weights = {f: draw.normal() for w in tokens for f in [*chain_features(w), f"<{context(w)}", f">{context(w)}"]}
-    got = Emissions(weights, -2.0).of(tokens, sizes)
+    tokens, sizes = "Vile words, here Vile ß2 -- été".split(), np.array([2, 0, 5])
+    table = np.random.default_rng(1).normal(size=SLOTS)
+    e = Emissions(table, -2.0)
     want = []
-    for a, n in ((0, 2), (2, 3)):
+    for a, n in ((0, 2), (2, 5)):
         for i in range(a, a + n):
-            own = -2.0 + sum(weights[f] for f in chain_features(tokens[i]))
-            want.append(own + (weights[f"<{context(tokens[i - 1])}"] if i > a else 0) + (weights[f">{context(tokens[i + 1])}"] if i < a + n - 1 else 0))
-    assert np.allclose(got, want)
+            _, own, _, _ = chain_features([tokens[i]])
+            size = len(plain(tokens[i]).encode())
+            assert len(own) == (size > 0) + sum(size > k for k in (*BEGINS, *ENDS)) + max(0, size - 2) + 1
+            score = -2.0 + table[own].sum()
+            score += table[chain_features([tokens[i - 1]])[2][0]] if i > a else 0
+            want.append(score + (table[chain_features([tokens[i + 1]])[3][0]] if i < a + n - 1 else 0))
+    for _ in range(2):  # the second time from the cache
+        assert np.allclose(e.of(tokens, sizes), want)
+    assert len(e.of([], np.array([0]))) == 0
+
+
+def test_pieces_of_words_have_one_slot_wherever_they_stand():
+    token, slot, left, _ = chain_features(["abcdefgh", "Abcdef", "xxabc", "abc"])
+    at = lambda i: set(slot[token == i].tolist())
+    assert len(at(0) & at(1)) >= 4 + 3 and at(2) & at(3) and left[0] == left[1] == left[3] != left[2]
 
 
 def test_a_word_that_was_never_labelled_is_found_by_what_it_shares(spark):

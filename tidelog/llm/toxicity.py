@@ -10,8 +10,8 @@ document is and a kept word or beginning matches it.
 
 A two-state chain is then trained on the labelled tokens, by gradients of the regularised
 likelihood summed by partition. Its features do not depend on the labelling: of every token the
-word, beginnings, endings, letter triples and shape, and the beginnings of both neighbours, as far
-as ``LEAST`` labelled tokens have them. So a word that was never labelled is tagged by what it
+word, beginnings, endings, triples of bytes and shape, and the beginnings of both neighbours, all
+hashed into ``SLOTS``, as far as ``LEAST`` labelled tokens have them. So a word that was never labelled is tagged by what it
 shares with those that were, and a labelled one is not if its like are found elsewhere.
 
 Every document is tagged by forward-backward over its whole text; adjoining tokens with a marginal
@@ -47,12 +47,20 @@ LIFT, LEAST = 3.0, 3
 #: Tokens of a segment of forward-backward.
 SEGMENT = 64
 BINS = 200
-_EDGES = re.compile(r"^\W+|\W+$")
+#: Signs around a word that are none of it: ASCII punctuation and common quotes and dashes.
+_AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’‘‚…–—¿¡·•"
+SLOTS = 1 << 20
+#: Kinds of features of a token, salts of their hashes; beginnings and endings by bytes.
+WORD, BEGIN, END, TRIPLE, SHAPE, LEFT, RIGHT = range(1, 8)
+BEGINS, ENDS = (3, 4, 5, 6, 7, 8), (3, 4, 5)
+_VALUE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_powers: dict[str, np.ndarray] = {}
 
 
 def plain(token: str) -> str:
     """The lower-case word without punctuation around it."""
-    return _EDGES.sub("", token).lower()
+    return token.strip(_AROUND).lower()
 
 
 def labelling_features(token: str) -> list[str]:
@@ -61,17 +69,60 @@ def labelling_features(token: str) -> list[str]:
     return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) > n)] if word else []
 
 
-def chain_features(token: str) -> list[str]:
-    """What the chain sees of a token itself."""
-    word = plain(token)
-    shape = ("A" if token[:1].isupper() else "a") + ("0" if any(map(str.isdigit, token)) else "") + str(min(len(word), 12))
-    grams = {f"g:{word[i : i + 3]}" for i in range(len(word) - 2)}
-    return [*labelling_features(token), f"s:{word[-3:]}", f"s:{word[-4:]}", f"x:{shape}", *sorted(grams)]
+def _slot(h: np.ndarray, kind: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(kind * 0x9E3779B1)) * _ODD
+        h = (h ^ (h >> np.uint64(29))) * _BASE
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the hash base and of its inverse, modulo 2 ** 64."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n + n // 4, 1 << 14)
+        for name, base in (("up", _BASE), ("down", np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+            _powers[name] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, base))])
+    return _powers["up"], _powers["down"]
 
 
-def context(token: str) -> str:
-    """What the chain sees of a token beside another one."""
-    return plain(token)[:3]
+def chain_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, slot) of what the chain sees of each token itself, and each token's slot as a left and as a right neighbour.
+
+    All tokens are hashed at once: the hash of a piece of a word is the difference of two prefix
+    sums over all bytes, moved to the same origin.
+    """
+    words = [plain(t).encode() for t in tokens]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    start = np.cumsum(size) - size
+    up, down = _power(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * up[: len(raw)])])
+    piece = lambda a, b: (total[b] - total[a]) * down[a]
+    every = np.arange(len(words))
+    which, slots = [], []
+
+    def add(token: np.ndarray, h: np.ndarray, kind: int) -> None:
+        which.append(token), slots.append(_slot(h, kind))
+
+    some = np.flatnonzero(size)
+    add(some, piece(start[some], start[some] + size[some]), WORD)
+    for n in BEGINS:
+        long = np.flatnonzero(size > n)
+        add(long, piece(start[long], start[long] + n) + np.uint64(n), BEGIN)
+    for n in ENDS:
+        long = np.flatnonzero(size > n)
+        add(long, piece(start[long] + size[long] - n, start[long] + size[long]) + np.uint64(n), END)
+    inside = np.maximum(size - 2, 0)
+    of = np.repeat(every, inside)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(inside) - inside, inside) + start[of]
+    add(of, piece(at, at + 3), TRIPLE)
+    upper = np.fromiter((t[:1].isupper() for t in tokens), bool, len(tokens))
+    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+    shape = np.minimum(size, 12) * 4 + upper * 2 + (digits[start + size] > digits[start])
+    add(every, shape.astype(np.uint64), SHAPE)
+    near = piece(start, start + np.minimum(size, 3))
+    return np.concatenate(which), np.concatenate(slots), _slot(near, LEFT), _slot(near, RIGHT)
 
 
 def forward_backward(unary: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -137,9 +188,9 @@ def _chained(maps: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ChainCRF:
-    """Weights by feature, of a token's own (also ``<`` and ``>`` for its neighbours' beginnings), and the calibration."""
+    """Weights by slot, and the calibration."""
 
-    features: tuple[str, ...] = ()
+    features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -20.0
     transition: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
@@ -149,7 +200,9 @@ class ChainCRF:
     levels: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def emissions(self) -> Emissions:
-        return Emissions(dict(zip(self.features, self.weights.tolist())), self.bias)
+        table = np.zeros(SLOTS)
+        table[self.features] = self.weights
+        return Emissions(table, self.bias)
 
     def tag(self, texts: list[str], emissions: Emissions) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
         """The evidence, the tokens and the spans (first and last token, largest marginal) of each text."""
@@ -190,27 +243,29 @@ class ChainCRF:
 class Emissions:
     """Scores of tokens for the toxic state less those for the clean one; what a word brings is worked out once."""
 
-    def __init__(self, weights: dict[str, float], bias: float, most: int = 300_000):
-        self.weights, self.bias, self.most = weights, bias, most
+    def __init__(self, table: np.ndarray, bias: float, most: int = 400_000):
+        self.table, self.bias, self.most = table, bias, most
         self.known: dict[str, int] = {}
-        self.own, self.left, self.right = [], [], []
+        self.scores = np.zeros((3, 1 << 16))  # of a word itself, as a left and as a right neighbour
 
     def of(self, tokens: list[str], sizes: np.ndarray) -> np.ndarray:
         """The score of each of the tokens of all sequences in a row."""
         if len(self.known) > self.most:  # a cache, so that it may be emptied
             self.known.clear()
-            self.own, self.left, self.right = [], [], []
-        get = self.weights.get
-        for token in set(tokens).difference(self.known):
-            self.known[token] = len(self.own)
-            self.own.append(sum(get(f, 0.0) for f in chain_features(token)))
-            beside = context(token)
-            self.left.append(get(f"<{beside}", 0.0)), self.right.append(get(f">{beside}", 0.0))
+        new = list(set(tokens).difference(self.known))
+        if new:
+            at = len(self.known)
+            if self.scores.shape[1] < at + len(new):
+                self.scores = np.concatenate([self.scores, np.zeros((3, at + len(new)))], axis=1)
+            self.known.update(zip(new, range(at, at + len(new))))
+            token, slot, left, right = chain_features(new)
+            self.scores[:, at : at + len(new)] = np.bincount(token, self.table[slot], len(new)), self.table[left], self.table[right]
         which = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        score = np.array(self.own)[which] + self.bias if len(which) else np.zeros(0)
+        own, left, right = self.scores
+        score = own[which] + self.bias
         inner = np.flatnonzero(~first_tokens(sizes))
-        score[inner] += np.array(self.left)[which[inner - 1]] if len(inner) else 0.0
-        score[inner - 1] += np.array(self.right)[which[inner]] if len(inner) else 0.0
+        score[inner] += left[which[inner - 1]]
+        score[inner - 1] += right[which[inner]]
         return score
 
 
@@ -284,58 +339,67 @@ def matched(token: str, candidates: set[str] | frozenset[str]) -> list[str]:
     return own[:1] if own and own[0][0] == "w" else own
 
 
-def chain_vocabulary(sample: DataFrame, labelling: frozenset[str]) -> tuple[str, ...]:
-    """The features that ``LEAST`` labelled tokens of toxic documents have; their number is bounded by the sample's."""
+def chain_vocabulary(sample: DataFrame, labelling: frozenset[str]) -> np.ndarray:
+    """The slots that ``LEAST`` labelled tokens of toxic documents have, in order."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = Counter(), {}
+        count = np.zeros(SLOTS, np.int64)
         for _, texts in text_pieces(batches):
-            for t in texts:
-                tokens = ["", *t.decode("utf-8", "replace").split(), ""]
-                for k, w in enumerate(tokens[1:-1], 1):
-                    if (hit := known.get(w)) is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        hit = known[w] = bool(matched(w, labelling))
-                    if hit:
-                        count.update(chain_features(w))
-                        count.update((f"<{context(tokens[k - 1])}", f">{context(tokens[k + 1])}"))
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+            tokens, which, sizes = _numbered(texts)
+            if not tokens:
+                continue
+            hit = np.array([bool(matched(w, labelling)) for w in tokens])
+            token, slot, left, right = chain_features(tokens)
+            times = np.bincount(which, hit[which], len(tokens)).astype(np.int64)
+            count += np.bincount(slot, times[token], SLOTS).astype(np.int64)
+            inner = np.flatnonzero(~first_tokens(sizes))
+            count += np.bincount(left[which[inner - 1]], hit[which[inner]], SLOTS).astype(np.int64)
+            count += np.bincount(right[which[inner]], hit[which[inner - 1]], SLOTS).astype(np.int64)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"slot": some, "n": count[some]})
+
+    got = sample.where("y = 1").mapInArrow(seen, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["slot"] for r in got.where(F.col("n") >= LEAST).select("slot").collect()), np.int64)
 
-    got = sample.where("y = 1").mapInArrow(seen, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    return tuple(sorted(r["feature"] for r in got.where(F.col("n") >= LEAST).select("feature").collect()))
 
+def _numbered(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct tokens of a piece, the number of each of its tokens, and the tokens of each text."""
+    split = [t.decode("utf-8", "replace").split() for t in texts]
+    words: dict[str, int] = {}
+    which = np.array([words.setdefault(w, len(words)) for t in split for w in t], np.int64)
+    return list(words), which, np.array([len(t) for t in split], np.int64)
 
-_PIECE = "sizes array<int>, tokens array<int>, truth array<byte>, starts array<int>, own array<int>, beside array<int>"
 
+_PIECE = "sizes array<int>, tokens array<int>, truth array<byte>, word array<int>, own array<int>, before array<int>, after array<int>"
 
-def _encoded(features: tuple[str, ...], labelling: frozenset[str]):
-    """A row per piece of the sample: its sequences as numbers of the piece's words, the labels of tokens, and of each word the numbers of its features."""
-    number = {f: i for i, f in enumerate(features)}
+
+def _encoded(features: np.ndarray, labelling: frozenset[str]):
+    """A row per piece of the sample: its sequences as numbers of the piece's words, the labels of tokens, and (word, feature) for the words' features; of neighbours -1 for none."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(SLOTS, -1, np.int32)
+        number[features] = np.arange(len(features))
         for piece, texts in text_pieces(batches):
-            split = [t.decode("utf-8", "replace").split() for t in texts]
-            words: dict[str, int] = {}
-            which = [words.setdefault(w, len(words)) for t in split for w in t]
-            ids = [[number[f] for f in chain_features(w) if f in number] for w in words]
-            beside = [number.get(f"{side}{context(w)}", -1) for w in words for side in "<>"]
-            hit = np.array([bool(matched(w, labelling)) for w in words] or [False])
-            sizes = np.array([len(t) for t in split])
-            truth = hit[which] & np.repeat(piece.column("y").to_numpy() > 0, sizes) if which else np.zeros(0, bool)
-            row = {"sizes": sizes, "tokens": which, "truth": truth.astype(np.int8), "starts": np.cumsum([0, *map(len, ids)]), "own": [i for x in ids for i in x], "beside": beside}
+            words, which, sizes = _numbered(texts)
+            if not words:
+                continue
+            hit = np.array([bool(matched(w, labelling)) for w in words])
+            word, slot, left, right = chain_features(words)
+            own = number[slot]
+            row = {
+                "sizes": sizes, "tokens": which, "truth": (hit[which] & np.repeat(piece.column("y").to_numpy() > 0, sizes)).astype(np.int8),
+                "word": word[own >= 0], "own": own[own >= 0], "before": number[left], "after": number[right],
+            }
             yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.list_(pa.int8() if k == "truth" else pa.int32())) for k, v in row.items()})
 
     return encode
 
 
-def train_crf(sample: DataFrame, labelling: frozenset[str], features: tuple[str, ...], rounds: int = 20, l2: float = 0.5) -> ChainCRF:
+def train_crf(sample: DataFrame, labelling: frozenset[str], features: np.ndarray, rounds: int = 20, l2: float = 0.5) -> ChainCRF:
     """Gradient ascent on the regularised likelihood; each round is one pass summed by partition."""
-    if not features:
-        return ChainCRF()
     pieces = save(sample.mapInArrow(_encoded(features, labelling), _PIECE), "crf-sequences")
     k = len(features)
-    theta = np.concatenate([np.array([2.0 if f in labelling else 0.0 for f in features]), [-4.0], [-0.5, -0.5, 0.0]])  # weights, bias, transitions 01, 10, 11
+    theta = np.concatenate([np.zeros(k), [-3.0], [-0.5, -0.5, 0.0]])  # weights, bias, transitions 01, 10, 11
 
     def gradient(theta: np.ndarray) -> np.ndarray:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,13 +408,9 @@ def train_crf(sample: DataFrame, labelling: frozenset[str], features: tuple[str,
             trans = np.array([[0.0, theta[k + 1]], [theta[k + 2], theta[k + 3]]])
             for b in batches:
                 for i in range(b.num_rows):
-                    sizes, tokens, truth, starts, own, beside = (b.column(c)[i].values.to_numpy() for c in ("sizes", "tokens", "truth", "starts", "own", "beside"))
-                    if not len(tokens):
-                        continue
-                    n_words = len(starts) - 1
-                    word = np.repeat(np.arange(n_words), np.diff(starts))
+                    sizes, tokens, truth, word, own, before, after = (b.column(c)[i].values.to_numpy() for c in ("sizes", "tokens", "truth", "word", "own", "before", "after"))
+                    n_words = len(before)
                     inner = np.flatnonzero(~first_tokens(sizes))
-                    before, after = beside[::2], beside[1::2]
                     unary = np.bincount(word, theta[own], n_words)[tokens] + theta[k]
                     unary[inner] += padded[before][tokens[inner - 1]]
                     unary[inner - 1] += padded[after][tokens[inner]]
@@ -372,11 +432,13 @@ def train_crf(sample: DataFrame, labelling: frozenset[str], features: tuple[str,
             total[r["i"]] = r["v"]
         return total - l2 * theta
 
-    memory = np.full(len(theta), 1e-8)
+    # steps are of one size for the features of most tokens and smaller for rare ones, so that what words share learns first
+    memory, rare = np.full(len(theta), 1e-8), 0.0
     for _ in range(rounds):
         slope = gradient(theta)
         memory = 0.7 * memory + 0.3 * slope**2
-        theta = theta + 0.4 * slope / (np.sqrt(memory) + 1.0)
+        rare = rare or 0.3 * float(np.sqrt(memory[:k]).max()) + 1.0
+        theta = theta + 0.5 * slope / (np.sqrt(memory) + np.append(np.full(k, rare), [1.0] * 4))
     drop(pieces)
     return ChainCRF(features, theta[:k], float(theta[k]), np.array([[0.0, theta[k + 1]], [theta[k + 2], theta[k + 3]]]))
 
@@ -421,8 +483,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int) -> ChainCRF:
     known = save(known, "labels")
     sample = save(docs.join(F.broadcast(known), "doc_id").select(F.col("text").cast("string"), "y"), "toxicity-sample")
     labelling = toxic_features(sample, sample.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])
-    features = chain_vocabulary(sample, labelling) if labelling else ()
-    model = calibrate(train_crf(sample, labelling, features), sample) if features else ChainCRF()
+    features = chain_vocabulary(sample, labelling) if labelling else np.zeros(0, np.int64)
+    model = calibrate(train_crf(sample, labelling, features), sample) if len(features) else ChainCRF()
     drop(known, sample)
     return model
 
