@@ -172,6 +172,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spans = save(ids.mapInArrow(_document_runs, f"h long, c int, doc_id {dict(ids.dtypes)['doc_id']}"), "sentence-runs")
     each = spans.where("h IS NOT NULL AND doc_id IS NOT NULL")
     first = each.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("h", "c", "first")
+    first = save(first, "repeated-runs")  # a table of its own, so that the join reads shuffles only and a hot hash can be split
     later = each.join(first, ["h", "c"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "h")
     within = spans.where("h IS NULL AND doc_id IS NOT NULL").select("doc_id", "h")
     return later.unionByName(within).groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
