@@ -225,11 +225,14 @@ def decode(raw: Column, kind: str = "message") -> Column:
 
 
 def decode_rows(rows: DataFrame, raw: Column, kind: str = "message", name: str = "d") -> DataFrame:
-    """``rows`` with the struct of ``decode``, step by step so that no pattern is matched more than once; only rows that are not canonical go to Python."""
-    text = F.col("_text")
+    """``rows`` with the struct of ``decode``, computed step by step so that no pattern is matched more than once.
+
+    Rows are not split as in ``with_canonical``: both parts would match the patterns again, which
+    costs more than the nulls that canonical rows send to Python.
+    """
+    text, fits = F.col("_text"), F.col("_fits")
     staged = rows.withColumn("_text", raw.cast("string"))
     staged = staged.withColumns({f"_{k}": c for k, c in _parts(text, kind).items()})
     parts = {k: F.col(f"_{k}") for k in ("message_id", "payload", "topic")}
     staged = staged.withColumn("_fits", _fits(text, parts, kind))
-    canonical = staged.where("_fits").withColumn(name, _good(parts)).select(*rows.columns, name)
-    return canonical.unionByName(staged.where("NOT _fits").withColumn(name, _other(text, kind)).select(*rows.columns, name))
+    return staged.withColumn(name, F.when(fits, _good(parts)).otherwise(_other(F.when(~fits, text), kind))).select(*rows.columns, name)
