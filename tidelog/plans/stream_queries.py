@@ -15,7 +15,7 @@ from tidelog.plans.log_queries import LIMITS
 from tidelog.plans.message_queries import wire_texts
 from tidelog.plans.policy_queries import GROUP, HOUR
 from tidelog.session import save, shared_dir
-from tidelog.streaming.runs import dedup_within_watermark, run_each_batch, run_to_table, stream_fold, stream_table
+from tidelog.streaming.runs import dedup_within_watermark, fold_to_table, run_each_batch, run_to_table, stream_table
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,26 +33,26 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("sender_id", "seq", "frame_size")
-    out = stream_fold(rows, ["sender_id"], ["seq"], lambda: Rotation(LIMITS.segment_max_records, LIMITS.segment_max_bytes))
-    return run_to_table(out.select("sender_id", "seq", "segment_id", "start_offset", "end_offset"), "stream-segments")
+    make = lambda: Rotation(LIMITS.segment_max_records, LIMITS.segment_max_bytes)
+    return fold_to_table(rows, ["sender_id"], ["seq"], make, ["sender_id", "seq", "segment_id", "start_offset", "end_offset"], "stream-segments")
 
 
 def stream_group_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("sender_id", "seq", "at", "frame_size")
-    return run_to_table(stream_fold(rows, ["sender_id"], ["seq"], lambda: GroupSync(GROUP)).select("sender_id", "seq", "syncs", "unsynced"), "stream-sync")
+    return fold_to_table(rows, ["sender_id"], ["seq"], lambda: GroupSync(GROUP), ["sender_id", "seq", "syncs", "unsynced"], "stream-sync")
 
 
 def stream_lru_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("topic", "seq", F.col("sender_id").alias("message_id"))
-    return run_to_table(stream_fold(rows, ["topic"], ["seq"], lambda: SeenSet(20)).select("topic", "seq", "seen"), "stream-lru")
+    return fold_to_table(rows, ["topic"], ["seq"], lambda: SeenSet(20), ["topic", "seq", "seen"], "stream-lru")
 
 
 def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The delivery machine as a stateful processor; equal to its batch twin in the tests."""
+    """The delivery machine over micro-batches; equal to its batch twin in the tests."""
     kind = F.when(F.col("event_type").isin("error", "signup"), "ack").otherwise("publish")
     rows = _events(spark, sf_dir).select("sender_id", "seq", "at", kind.alias("kind"), F.concat(F.lit("m-"), F.floor(F.col("seq") / 500) % 3).alias("message_id"))
-    out = stream_fold(rows, ["sender_id"], ["seq"], lambda: Delivery(8 * HOUR * 1_000_000, 2 * HOUR * 1_000_000))
-    return run_to_table(out.select("sender_id", "seq", "status", "attempts", "pending"), "stream-delivery")
+    make = lambda: Delivery(8 * HOUR * 1_000_000, 2 * HOUR * 1_000_000)
+    return fold_to_table(rows, ["sender_id"], ["seq"], make, ["sender_id", "seq", "status", "attempts", "pending"], "stream-delivery")
 
 
 def stream_pending_count(spark: SparkSession, sf_dir: str) -> DataFrame:
