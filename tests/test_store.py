@@ -93,6 +93,22 @@ def test_recovery_reports_damage_and_gaps(spark):
     assert report["torn"] and report["error"] == "incomplete" and report["records"] == 8 - 3
 
 
+def test_recovery_runs_its_frames_once(spark):
+    files = segment_files(log.assign_segments(batch(spark, *range(8)), LogLimits(segment_max_records=2))).withColumnRenamed("segment_id", "number")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frames = frames_of(files.withColumn("newest", F.col("number") == 4), ("sender_id",))
+    none = spark.createDataFrame([], "sender_id long, segment_id long, byte_offset long")
+    rows, report = recovered(frames.mapInArrow(counted, frames.schema), none)
+    assert rows.count() == 8 and report.first()["records"] == 8
+    assert seen.value == 8
+
+
 def test_journals_are_read_in_splits_and_migrated(spark, tmp_path):
     lines = [f'{{"envelope":{{"event_id":"m{i}","payload":{i},"topic":"t","version":1}},"journal_version":1,"op":"enqueue"}}' for i in range(400)]
     lines[3], lines[7] = "", lines[7][:-4]

@@ -182,8 +182,7 @@ def format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = segments.segment_files(placed(spark, sf_dir)).withColumnRenamed("segment_id", "number")
-    newest = files.groupBy("sender_id").agg(F.max("number").alias("last"))
-    return files.join(newest, "sender_id").withColumn("newest", F.col("number") == F.col("last"))
+    return files.withColumn("newest", F.col("number") == F.max("number").over(Window.partitionBy("sender_id")))
 
 
 def segment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.codec import decode_rows
 from tidelog.operators.log import at_or_after
+from tidelog.session import save
 
 #: Fixed by the file format.
 SEGMENT_MAGIC, RECORD_MAGIC = b"RLMQSEG1", b"MSG1"
@@ -105,11 +106,12 @@ def recovered(frames: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFra
     byte_offset). The report has records, replayed, error (the first damage that is none of an
     unfinished write), torn, duplicates (ids found more than once) and missing (closed segments
     that are not there, from the cursor's or the first on); a log is sound if error is null and
-    duplicates and missing are 0.
+    duplicates and missing are 0. The frames run once: what they hold is written to a table that
+    the rows and both counts of the report read.
     """
     found = decode_rows(frames, F.col("encoded")).select(*frames.columns, "d.message_id", "d.ok")
     marks = cursors.select("sender_id", F.col("segment_id").alias("at_segment"), F.col("byte_offset").alias("at_offset"))
-    rows = found.join(marks, "sender_id", "left")
+    rows = save(found.join(marks, "sender_id", "left"), "recovered-frames")
     after = F.col("at_segment").isNull() | at_or_after(F.col("segment_id"), F.col("start_offset"), F.col("at_segment"), F.col("at_offset"))
     sound = F.col("error").isNull() & F.col("ok")
     bad = F.when(F.col("error") != "torn", F.col("error")).when(F.col("error").isNull() & ~F.col("ok"), F.lit("envelope"))
